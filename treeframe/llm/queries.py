@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 
 QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
     "op8_quality_rules": quality.OP8_SQL,
+    "op10_mix_sources": mixing.OP10_SQL,
 }
