@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 
 QUERIES = {
+    "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
