@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,3 +59,20 @@ def words(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the scratch tables that df reads, and lets Spark drop shuffle files that nothing refers to any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for own in [x for x in _scratch if path.rstrip("/").endswith(x[1].rpartition("/")[2])]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(own[1])
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _scratch.remove(own)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that are garbage, but only once both sides have collected it."""
+    gc.collect()
+    spark._jvm.System.gc()
