@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, substrings
+from . import linededup, mixing, quality, simhash, substrings
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
+    "op5_line_dedup": linededup.OP5_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_substring_dedup": substrings.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
