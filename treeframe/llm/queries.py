@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, simhash, substrings
+from . import linededup, mixing, quality, sharding, simhash, substrings
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_shard_shuffle": sharding.op7_shard_shuffle,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
