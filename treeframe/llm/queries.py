@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, sharding, simhash, substrings
+from . import linededup, mixing, quality, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_exact_topk": topk.op6_exact_topk,
     "op7_shard_shuffle": sharding.op7_shard_shuffle,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_substring_dedup": substrings.op9_substring_dedup,
@@ -15,6 +16,7 @@ QUERIES = {
 
 SQL = {
     "op5_line_dedup": linededup.OP5_SQL,
+    "op6_exact_topk": topk.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_substring_dedup": substrings.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
