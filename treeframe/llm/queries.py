@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, sharding, simhash, substrings, topk
+from . import licences, linededup, mixing, quality, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op4_license_scan": licences.op4_license_scan,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_exact_topk": topk.op6_exact_topk,
     "op7_shard_shuffle": sharding.op7_shard_shuffle,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_license_scan": licences.OP4_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op6_exact_topk": topk.OP6_SQL,
     "op8_quality_rules": quality.OP8_SQL,
