@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licences, linededup, mixing, quality, sharding, simhash, substrings, topk
+from . import html, licences, linededup, mixing, quality, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
+    "op3_html_extract": html.op3_html_extract,
     "op4_license_scan": licences.op4_license_scan,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_exact_topk": topk.op6_exact_topk,
