@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html, licences, linededup, mixing, quality, sharding, simhash, substrings, topk
+from . import html, licences, linededup, mixing, pieces, quality, sharding, simhash, substrings, topk
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_simhash_dedup": simhash.op2_simhash_dedup,
     "op3_html_extract": html.op3_html_extract,
     "op4_license_scan": licences.op4_license_scan,
