@@ -26,8 +26,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there.
+def table(df: DataFrame, scratch: bool = True) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there. release() deletes what is scratch.
 
     Lost executors cost no recomputation beyond their own tasks, and later readers see the same rows
     even where df is not deterministic (row numbers, shuffle order).
@@ -35,7 +35,8 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/treeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _scratch.append((spark, path))
+    if scratch:
+        _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,6 +58,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct named row: helper columns beside it can't clash with any of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs out of a row struct, in their order, with some changed or, after them, added."""
+    own = [changed.pop(c).alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns]
+    return own + [v.alias(k) for k, v in changed.items()]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

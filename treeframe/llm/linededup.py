@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, read, table
+from .common import WORD, read, row, table, unpacked
 
 #: A repeated run counts if its lines have so many words together.
 MIN_WORDS = 10
@@ -140,11 +140,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     lines = table(rows.mapInArrow(_lines(min_words), schema).withColumn("p", F.monotonically_increasing_id()))
     gone = later_copies(lines, min_words).groupBy("doc_id", "t").agg(F.collect_set(F.struct("i", "m")).alias("_gone"))
     gone = table(gone.withColumnsRenamed({"doc_id": "_doc", "t": "_t"}))
-    out = docs.withColumn("_h", F.xxhash64(text))
-    out = out.join(gone, out[doc_id].eqNullSafe(gone["_doc"]) & (out["_h"] == gone["_t"]), "left")
-    cut = F.when(F.col(text).isNotNull(), _cut(F.col(text), F.col("_gone")))
-    out = out.withColumn("_cut", cut)
-    return out.withColumn(text, F.coalesce("_cut.text", text)).withColumns({"_n_lines": F.coalesce("_cut.n_lines", F.lit(0)), "_n_removed": F.coalesce("_cut.n_removed", F.lit(0))}).drop("_doc", "_t", "_h", "_gone", "_cut")
+    out = docs.select(row(docs), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    out = out.join(gone, out["id"].eqNullSafe(gone["_doc"]) & (out["h"] == gone["_t"]), "left").withColumn("cut", _cut(F.col("row")[text], F.col("_gone")))
+    return out.select(*unpacked(docs, **{text: F.col("cut.text"), "_n_lines": F.col("cut.n_lines"), "_n_removed": F.col("cut.n_removed")}))
 
 
 def _cut(text: Column, gone: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read, table
+from .common import WORD, read, row, table, unpacked
 
 GOLDEN = 0.6180339887498949
 
@@ -120,21 +120,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("uid", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("uid")
 
 
-def mix_documents(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs as the mix takes them: a row for each pass over a document, with the words taken in that pass; columns as they were.
 
     A document that a pass takes whole keeps its text as it is; of one that the end of a quota cuts, the words before the
     cut stay. Documents without words are not taken.
     """
-    docs = docs.withColumn("_uid", F.monotonically_increasing_id())
-    docs = table(docs)
-    taken = mix(docs.withColumn("_doc", F.col("_uid")), doc_id="_doc", text=text, **how)
+    rows = table(docs.select(row(docs), F.monotonically_increasing_id().alias("uid")))
+    taken = mix(rows.select("uid", F.col("row")[text].alias("text"), F.col("row")[source].alias("source")), doc_id="uid", **how)
     taken = taken.groupBy("doc_id", "size").agg(F.sum("words").alias("taken")).filter("taken > 0")
     taken = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.when(F.col("n") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).alias("_cut"))
-    out = docs.join(taken, docs["_uid"] == taken["_doc"])
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_cut").cast("int")), "")
-    return out.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(head)).drop("_uid", "_doc", "_cut")
+    taken = taken.select(F.col("doc_id").alias("uid"), F.when(F.col("n") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).cast("int").alias("cut"))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("cut")), "")
+    return rows.join(taken, "uid").select(*unpacked(docs, **{text: F.when(F.col("cut").isNull(), F.col("row")[text]).otherwise(head)}))
 
 
 OP10_SQL = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, read, table
+from .common import let, read, row, table, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: So many words, the most frequent, are encoded in the relation and broadcast (some 20 MB).
@@ -306,7 +306,7 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WO
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids, ok = [], []
-                for x in part.column(place):
+                for x in part.column(0).field(place):
                     x = x.as_py() or ""
                     own: list[int] = []
                     for w in model.chunks(x):
@@ -322,10 +322,10 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WO
                     ok.append(model.decode(own) == x)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], schema=None, names=[*part.schema.names, "_ids", "_n_tokens", "_decoded_ok"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], names=["row", "ids", "n_tokens", "ok"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_n_tokens", T.LongType()), T.StructField("_decoded_ok", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ok", T.BooleanType())])
+    return docs.select(row(docs)).mapInArrow(run, schema).select(*unpacked(docs, _ids=F.col("ids"), _n_tokens=F.col("n_tokens"), _decoded_ok=F.col("ok")))
 
 
 def fold_long(model: Pieces, word: str) -> list[int]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, read, table, words
+from .common import WORD, let, read, row, table, unpacked, words
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -102,16 +102,13 @@ def judge(
     )
 
 
-def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """docs without the rows that the rules or their hosts reject; columns as they were."""
-    columns = docs.columns
-    failed = docs.withColumn("_m", metrics(F.col(text)))
-    min_words, max_repeat = limits.get("min_words", 50), limits.get("max_repeat", 0.5)
-    bad = (F.col("_m.n_words") < min_words) | (100 * F.col("_m.n_repeat_words") > round(100 * max_repeat) * F.col("_m.n_words"))
-    failed = table(failed.withColumn("base_failed", bad).drop("_m"))
-    hosts = table(host_verdicts(failed.select(F.col(host).alias("host"), "base_failed"), limits.get("max_host_rate", 0.5)).filter("NOT host_ok").select(F.col("host").alias("_host")))
-    kept = failed.filter("NOT base_failed")
-    return kept.join(hosts, kept[host] == hosts["_host"], "left_anti").select(*columns)
+def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat: float = 0.5, max_host_rate: float = 0.5) -> DataFrame:
+    """docs without the rows that the rules or their hosts reject; columns as they were, whatever their names."""
+    m = docs.select(row(docs), F.col(host).alias("host"), metrics(F.col(text)).alias("m"))
+    bad = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > round(100 * max_repeat) * F.col("m.n_words"))
+    judged = table(m.select("row", "host", bad.alias("base_failed")))
+    hosts = host_verdicts(judged.select("host", "base_failed"), max_host_rate).filter("NOT host_ok").select("host")
+    return judged.filter("NOT base_failed").join(hosts, "host", "left_anti").select(*unpacked(docs))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, table
+from .common import read, row, table, unpacked
 
 #: Bytes of text that a bucket holds on average at most.
 BUCKET_BYTES = 64 << 20
@@ -66,14 +66,14 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key:
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     buckets = max(math.ceil((size or 0) / bucket_bytes), math.ceil(n / BUCKET_ROWS), min(n or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.withColumns({"_h": h, "_h2": F.xxhash64(F.col(text), F.col(key))}).withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
+    rows = docs.select(row(docs), h.alias("_h"), F.xxhash64(F.col(text), F.col(key)).alias("_h2"), F.pmod(h, F.lit(buckets)).cast("int").alias("_bucket"))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
     offsets = table(counts.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset")))
     schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType())])
     out = rows.repartition(buckets, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_shuffle(seed), schema)
     offsets = F.broadcast(offsets) if buckets <= 1 << 18 else offsets  # 4 MB at most, else a join
     out = out.join(offsets, out["_bucket"] == offsets["_b"]).withColumn("_rank", F.col("_offset") + F.col("_place"))
-    return out.select(*docs.columns, F.pmod("_rank", F.lit(n_shards)).cast("int").alias("_shard"), F.floor(F.col("_rank") / n_shards).alias("_slot"))
+    return out.select(*unpacked(docs, _shard=F.pmod("_rank", F.lit(n_shards)).cast("int"), _slot=F.floor(F.col("_rank") / n_shards)))
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, table
+from .common import read, row, table, unpacked
 from .components import components
 
 MAX_BITS = 3
@@ -211,10 +211,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: the smallest doc_id (nulls last), of equal ids the first row. Columns as they were."""
-    columns = docs.columns
-    docs = table(docs.withColumn("_uid", F.monotonically_increasing_id()))
-    found = near_duplicates(docs, "_uid", text).select(F.col("doc_id").alias("_uid"), "component_id")
-    ranked = docs.select("_uid", F.col(doc_id).alias("_id")).join(found, "_uid")
-    order = F.struct(F.col("_id").isNull(), "_id", "_uid")
-    kept = ranked.groupBy("component_id").agg(F.min_by("_uid", order).alias("_uid")).select("_uid")
-    return docs.join(kept, "_uid", "left_semi").select(*columns)
+    rows = table(docs.select(row(docs), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("uid")))
+    found = near_duplicates(rows.select("uid", F.col("row")[text].alias("text")), "uid", "text").select(F.col("doc_id").alias("uid"), "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "uid")
+    kept = rows.select("uid", "id").join(found, "uid").groupBy("component_id").agg(F.min_by("uid", order).alias("uid")).select("uid")
+    return rows.join(kept, "uid", "left_semi").select(*unpacked(docs))
