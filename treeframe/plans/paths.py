@@ -38,6 +38,10 @@ class Name:
     def fits(self, ns: str | None, local: str, ignore_ns: bool = False) -> bool:
         return self.local in (ANY, local) and (ignore_ns or self.ns in (ANY, ns))
 
+    def key(self, ignore_ns: bool = False) -> str:
+        """The name as the parser reports it: uri}local, or local alone where there is no namespace."""
+        return f"{self.ns}}}{self.local}" if self.ns and not ignore_ns else self.local
+
     def __str__(self) -> str:
         return f"{{{self.ns}}}{self.local}" if self.ns else self.local
 
@@ -51,11 +55,11 @@ class Term:
     value: str = ""
     position: int = 0
 
-    def holds(self, attrs: Mapping[tuple[str | None, str], str], count: int, ignore_ns: bool = False) -> bool:
+    def holds(self, attrs: Mapping[str, str], count: int, ignore_ns: bool = False) -> bool:
+        """attrs by key() of their names."""
         if self.name is None:
             return count == self.position
-        have = attrs.get((None if ignore_ns else self.name.ns, self.name.local))
-        return (have == self.value) is self.equal
+        return (attrs.get(self.name.key(ignore_ns)) == self.value) is self.equal
 
 
 @dataclass(frozen=True)
