@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import by_key
 from ..functions.coerce import coerce
-from .program import Body, Slot, inner, needs_location, part
+from .program import Body, Slot, inner, part
 from .spec import Attr, Child, Kind, MapOf, Part, Poly, Record, Text, scalar, shown
 
 AT = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("path", T.StringType())])
@@ -56,7 +56,7 @@ def schema_of(record: Record) -> T.StructType:
         if isinstance(how, MapOf):
             k, v = part(how.key), part(how.value)
             kt, vt = (T.ArrayType(t, False) if p.many else t for p, t in ((p, value_type(record, p.type)) for p in (k, v)))
-            entries = T.StructType([T.StructField("key", kt, k.required), T.StructField("value", vt, v.required)])
+            entries = T.StructType([T.StructField("key", kt, not k.required), T.StructField("value", vt, not v.required)])
             fields.append(T.StructField(name, T.MapType(kt, vt, not v.required) if how.as_map else T.ArrayType(entries, False), not how.required))
             continue
         kind, many = value_type(record, how.type), getattr(how, "many", False)
@@ -180,5 +180,3 @@ def _map(record: Record, name: str, how: MapOf, slot: Slot, raw: Column) -> tupl
     errors = [F.flatten(F.transform(raw, lambda x: _some(entry(x)[1])))] if _can_fail(entry, raw) else []
     return (value if how.required else F.when(F.size(raw) > 0, value)), errors
 
-
-__all__ = ["AT", "ERROR", "needs_location", "no_errors", "raw_type", "schema_of", "typed_record", "value_type"]
