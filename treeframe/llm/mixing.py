@@ -78,10 +78,10 @@ def schedule(spark: SparkSession, blocks: DataFrame, chunk: int = 4096) -> DataF
     return slots.withColumn("i", inside).join(counts, ["source_rank", "chunk"]).select("slot", "source_rank", (F.col("before") + F.col("i") - 1).alias("k"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 4096, seed: int = 17, **shares) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 4096, seed: int = 17, uid: str | None = None, **shares) -> DataFrame:
     """The mix: one row for each stretch of words that it takes, and one without a stretch for each document not taken.
 
-    Columns: uid (of the row of docs), doc_id, source, size, source_size, target, begin and words (the stretch within
+    Columns: uid (of the row of docs: a column of that name if docs has one to give, else a number made here), doc_id, source, size, source_size, target, begin and words (the stretch within
     the document), slot (its place in the mix; where the schedule ended before a source's last blocks they follow
     the last slot), k (block of the source).
 
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spark = docs.sparkSession
     base = table(
         docs.select(
-            F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+            (F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("key"),
         )
     )
@@ -120,17 +120,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.groupBy("uid", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).drop("uid")
 
 
-def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs as the mix takes them: a row for each pass over a document, with the words taken in that pass; columns as they were.
 
     A document that a pass takes whole keeps its text as it is; of one that the end of a quota cuts, the words before the
     cut stay. Documents without words are not taken.
     """
     rows = table(docs.select(row(docs), F.monotonically_increasing_id().alias("uid")))
-    taken = mix(rows.select("uid", F.col("row")[text].alias("text"), F.col("row")[source].alias("source")), doc_id="uid", **how)
-    taken = taken.groupBy("doc_id", "size").agg(F.sum("words").alias("taken")).filter("taken > 0")
+    taken = mix(rows.select("uid", *[F.col("row")[c].alias(k) for k, c in (("doc_id", doc_id), ("text", text), ("source", source))]), uid="uid", **how)
+    taken = taken.groupBy("uid", "size").agg(F.sum("words").alias("taken")).filter("taken > 0")
     taken = taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    taken = taken.select(F.col("doc_id").alias("uid"), F.when(F.col("n") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).cast("int").alias("cut"))
+    taken = taken.select("uid", F.when(F.col("n") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).cast("int").alias("cut"))
     words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.col("cut")), "")
     return rows.join(taken, "uid").select(*unpacked(docs, **{text: F.when(F.col("cut").isNull(), F.col("row")[text]).otherwise(head)}))
