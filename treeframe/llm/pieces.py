@@ -12,9 +12,12 @@ are folded where they stand, by the same rule. No text is shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +136,8 @@ class Pieces:
         """(piece, id, score): as many rows as the model has pieces."""
         return spark.createDataFrame([(p, i, float(self.scores[i])) for p, i in self.ids.items()], "piece string, id int, score double")
 
-    def decode(self, ids: list[int]) -> str:
+    def spelled(self, ids: list[int]) -> str:
+        """The pieces of the ids one after another, runs of bytes read as UTF-8; spaces are still escaped."""
         out, raw = [], bytearray()
         for i in ids:
             if self.kinds[i] == 6:
@@ -145,9 +149,15 @@ class Pieces:
             if self.kinds[i] != 3:
                 out.append(" ⁇ " if self.kinds[i] == 2 else self.pieces[i])
         out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return "".join(out)
+
+    def unescaped(self, spelled: str) -> str:
+        text = spelled.replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.unescaped(self.spelled(ids))
+
 
 def _fields(blob: bytes) -> Iterator[tuple[int, object]]:
     """The fields of a protocol-buffer message."""
@@ -264,62 +274,84 @@ def _fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
 
 
 def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFrame:
-    """(word): the most frequent chunks of all texts, at most `limit`, counted over all of them."""
+    """(word): the most frequent chunks of all texts, at most `limit`, counted over all of them.
+
+    The words are not ranked: counts fall into classes, 16 for each doubling, and the highest classes that hold no more than
+    `limit` words together are taken. The driver sees a row for each class, some hundreds however large the corpus is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            short = [(w, n) for w, n in counts.items() if len(w) <= HOT_CHARS]
             counts.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
         for b in batches:
             for x in b.column(0):
-                for w in model.chunks(x.as_py() or ""):
-                    if len(w) <= HOT_CHARS:
-                        counts[w] = counts.get(w, 0) + 1
+                counts.update(model.chunks(x.as_py() or ""))
                 if len(counts) > 1 << 18:
                     yield flush()
         yield flush()
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.filter("n > 1").orderBy(F.col("n").desc(), "word").limit(limit).select("word")
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = table(counted.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")))
+    least, have = math.inf, 0
+    for r in sorted(counted.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["class"]):
+        have += r.words
+        if have > limit:
+            break
+        least = r["class"]
+    return counted.filter(F.col("class") >= F.lit(least)).select("word")
+
+
+class _Known(dict):
+    """Words with their ids and the text that these decode to. A word that is asked for and not there is folded.
+
+    The hot words stay; others are dropped together when there are CACHED of them.
+    """
+
+    CACHED = 1 << 17
+
+    def __init__(self, model: Pieces, hot: dict[str, list[int]]) -> None:
+        self.model, self.hot = model, {w: (ids, model.spelled(ids)) for w, ids in hot.items()}
+        super().__init__(self.hot)
+
+    def __missing__(self, word: str) -> tuple[list[int], str]:
+        if len(self) >= len(self.hot) + self.CACHED:
+            self.clear()
+            self.update(self.hot)
+        ids = self.model.fold(word) if len(word) <= 256 else fold_long(self.model, word)
+        self[word] = out = (ids, self.model.spelled(ids))
+        return out
 
 
 def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WORDS) -> DataFrame:
     """docs with _ids (the text's piece ids), _n_tokens and _decoded_ok (decoding the ids gives the text back).
 
     Null and empty texts have no ids. Texts are encoded whole, however long. Characters that no piece has become their bytes. Every
-    row of docs gives a row, and its other columns stay as they are.
+    row of docs gives a row, and its other columns stay as they are. A text is decoded word by word, as it is encoded: no piece
+    and no character's bytes reach over the end of a word.
     """
     vocabulary = lattice(table(hot_words(docs, text, model, hot)), model)
     spark = docs.sparkSession
-    known = {r.word: r.ids for r in vocabulary.toLocalIterator()}  # at most `hot` rows
-    shared = spark.sparkContext.broadcast((model, known))
+    hot_ids = {r.word: r.ids for r in vocabulary.toLocalIterator()}  # at most `hot` rows
+    shared = spark.sparkContext.broadcast((model, hot_ids))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        cache: dict[str, list[int]] = {}
+        known = _Known(*shared.value)
+        model, word = known.model, known.__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids, ok = [], []
                 for x in part.column(0).field(place):
                     x = x.as_py() or ""
-                    own: list[int] = []
-                    for w in model.chunks(x):
-                        i = known.get(w)
-                        if i is None:
-                            i = cache.get(w)
-                            if i is None:
-                                if len(cache) > 1 << 17:
-                                    cache.clear()
-                                i = cache[w] = model.fold(w) if len(w) <= 256 else fold_long(model, w)
-                        own += i
-                    ids.append(np.array(own, np.int32))
-                    ok.append(model.decode(own) == x)
+                    own = list(map(word, model.chunks(x)))
+                    ids.append(np.fromiter(chain.from_iterable([i for i, _ in own]), np.int32))
+                    ok.append(model.unescaped("".join([t for _, t in own])) == x)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], names=["row", "ids", "n_tokens", "ok"])
