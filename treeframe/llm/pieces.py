@@ -68,6 +68,11 @@ class Pieces:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.longest = max(map(len, self.ids), default=1)
+        #: Places of the scores, the best first; equal scores share a place.
+        places = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.rank, self.unranked = {p: places[self.scores[i]] for p, i in self.ids.items()}, len(places)
+        #: What an id adds to a text; None for bytes, which need their neighbours.
+        self.plain = [None if k == 6 else "" if k == 3 else " ⁇ " if k == 2 else p for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.apart = [p for p in self.ids if len(p) > 1 and any(c in p for c in "\n\t")]
         if self.apart:
             raise ValueError("pieces with line ends or tabs are not read here")
@@ -96,23 +101,26 @@ class Pieces:
     def fold(self, word: str) -> list[int]:
         """The ids of a word, as the relation's fold finds them."""
         parts = self._merge(word) if self.model_type == BPE else self._viterbi(word)
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [x for c in p for x in self.fallback(c)]
+        out = [self.ids.get(p) for p in parts]
+        if None in out:
+            return [x for p, i in zip(parts, out, strict=True) for x in ([i] if i is not None else [x for c in p for x in self.fallback(c)])]
         return out
 
     def _merge(self, word: str) -> list[str]:
-        s = list(word)
-        while len(s) > 1:
-            top, at = None, -1
-            for i in range(len(s) - 1):
-                k = self.ids.get(s[i] + s[i + 1])
-                if k is not None and (top is None or self.scores[k] > top):
-                    top, at = self.scores[k], i
-            if at < 0:
+        """The edge that joins two neighbours is looked up once, and again only where a neighbour has changed."""
+        s, rank, none = list(word), self.rank.get, self.unranked
+        edges = [rank(a + b, none) for a, b in zip(s, s[1:])]  # noqa: B905
+        while edges:
+            best = min(edges)
+            if best == none:
                 break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+            i = edges.index(best)
+            s[i : i + 2] = [s[i] + s[i + 1]]
+            del edges[i]
+            if i < len(edges):
+                edges[i] = rank(s[i] + s[i + 1], none)
+            if i:
+                edges[i - 1] = rank(s[i - 1] + s[i], none)
         return s
 
     def _viterbi(self, word: str) -> list[str]:
@@ -138,16 +146,18 @@ class Pieces:
 
     def spelled(self, ids: list[int]) -> str:
         """The pieces of the ids one after another, runs of bytes read as UTF-8; spaces are still escaped."""
+        parts = [self.plain[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out, raw = [], bytearray()
-        for i in ids:
-            if self.kinds[i] == 6:
+        for i, p in zip(ids, parts, strict=True):
+            if p is None:
                 raw.append(int(self.pieces[i][3:5], 16))
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if self.kinds[i] != 3:
-                out.append(" ⁇ " if self.kinds[i] == 2 else self.pieces[i])
+            out.append(p)
         out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
 
