@@ -15,9 +15,9 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -317,23 +317,28 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
 
 
 class _Known(dict):
-    """Words with their ids and the text that these decode to. A word that is asked for and not there is folded.
+    """Words with their ids, as bytes of int32, and the text that these decode to. A word that is not there is folded.
 
-    The hot words stay; others are dropped together when there are CACHED of them.
+    The hot words stay; others are dropped together when there are CACHED of them. Pairs of bytes and text are nothing
+    that Python's cyclic garbage collector would look through again and again, as it would through lists.
     """
 
     CACHED = 1 << 17
 
     def __init__(self, model: Pieces, hot: dict[str, list[int]]) -> None:
-        self.model, self.hot = model, {w: (ids, model.spelled(ids)) for w, ids in hot.items()}
+        self.model, self.hot = model, {w: self.entry(model, ids) for w, ids in hot.items()}
         super().__init__(self.hot)
 
-    def __missing__(self, word: str) -> tuple[list[int], str]:
+    @staticmethod
+    def entry(model: Pieces, ids: list[int]) -> tuple[bytes, str]:
+        return array("i", ids).tobytes(), model.spelled(ids)
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
         if len(self) >= len(self.hot) + self.CACHED:
             self.clear()
             self.update(self.hot)
         ids = self.model.fold(word) if len(word) <= 256 else fold_long(self.model, word)
-        self[word] = out = (ids, self.model.spelled(ids))
+        self[word] = out = self.entry(self.model, ids)
         return out
 
 
@@ -360,7 +365,7 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WO
                 for x in part.column(0).field(place):
                     x = x.as_py() or ""
                     own = list(map(word, model.chunks(x)))
-                    ids.append(np.fromiter(chain.from_iterable([i for i, _ in own]), np.int32))
+                    ids.append(np.frombuffer(b"".join([i for i, _ in own]), np.int32))
                     ok.append(model.unescaped("".join([t for _, t in own])) == x)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
