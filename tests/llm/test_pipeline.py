@@ -62,6 +62,17 @@ def test_pipeline(spark, tmp_path):
     assert all(abs(per_source.get(s, 0) - t) <= 1 for s, t in zip(sources, targets, strict=True))
 
 
+def test_short_lines_go_too(spark):
+    """Repeated runs count from one line with a word on: the stage has no smallest number of words."""
+    r = random.Random(7)
+    line = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    pool = ["All rights reserved.", "end", line(6), line(9)]
+    rows = [(i, "\n".join([line(12), r.choice(pool), "", line(3), r.choice(pool)])) for i in range(40)]
+    gone = brute_lines([(i, t, None) for i, t in rows], 1)
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], KIND).repartition(4), "")
+    assert {x.doc_id: x.text for x in out.collect()} == {i: linededup.without(t, gone[i, t]) for i, t in rows}
+
+
 def test_stages_return_documents(spark, tmp_path):
     spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
