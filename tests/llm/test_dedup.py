@@ -82,6 +82,39 @@ def test_simhash(spark):
     assert {r.doc_id for r in kept.collect()} == ids
 
 
+def brute_alike(rows, similarity):
+    """Roots of the rows, linked by fingerprints or by the Jaccard similarity of 5-word shingles."""
+    words = [re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t, _ in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    roots = brute_components([brute_fingerprint(t) for _, t, _ in rows])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and len(x & y) >= similarity * len(x | y):
+                roots = [roots[j] if c == roots[i] else c for c in roots]
+    return roots
+
+
+def test_near_copies_beyond_three_bits(spark):
+    """Copies with a few words changed are one document for the pipeline's stage, also where their fingerprints are far apart."""
+    r = random.Random(9)
+    rows = corpus()
+    for i in range(200, 240):
+        w = r.choices(WORDS, k=r.randint(60, 250))
+        rows.append((i, " ".join(w), "s"))
+        for k in r.sample(range(len(w)), r.randint(1, len(w) // 30)):
+            w[k] = f"x{i}"
+        rows.append((i + 100, " ".join(w), None))
+    strict, want = brute_components([brute_fingerprint(t) for _, t, _ in rows]), brute_alike(rows, 0.8)
+    assert len(set(want)) < len(set(strict)) - 10
+    least = {}
+    for (i, _, _), c in zip(rows, want, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    kept = simhash.dedup_documents(frame(spark, rows), similarity=0.8).collect()
+    assert len(kept) == len(set(want)) and {x.doc_id for x in kept} == {least.get(c) for c in want}
+    assert simhash.dedup_documents(frame(spark, []), similarity=0.8).collect() == []
+
+
 @pytest.mark.parametrize("hot", [1, 5, 4096])
 def test_links_join_all_that_are_near(spark, hot):
     """Fingerprints around a few centres, with every number of differing bits; also where all anchors count as hot."""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .alike import alike
 from .common import read, row, table, unpacked
 from .components import components
 
@@ -188,16 +189,25 @@ def near_links(fps: DataFrame, hot_homes: int = HOT_HOMES) -> DataFrame:
     return rows.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     Documents are linked if their fingerprints differ in 3 or fewer bits; component_id is the smallest doc_id that
     links reach. Null and empty texts have the fingerprint zero and are linked like any others. Equal texts are one
     fingerprint: they are never paired. A row with a null doc_id gets its component's id (null if none has one).
     Repeated rows each give a row. Other columns of docs play no part, whatever their names.
+
+    With a similarity, texts of that Jaccard similarity of 5-word shingles or more are linked too, see alike(); doc_id is
+    then a long that no two rows share.
     """
     rows = table(fingerprints(docs, doc_id, text))
-    roots = components(near_links(rows))
+    links = near_links(rows)
+    if similarity is not None:
+        more = alike(docs.select(F.col(doc_id).alias("uid"), F.col(text).alias("text")), similarity)
+        for end in ("a", "b"):
+            more = more.join(rows.select(F.col("doc_id").alias(end), F.col("fp").alias(f"fp_{end}")), end)
+        links = links.union(more.filter("fp_a <> fp_b").select("fp_a", "fp_b"))
+    roots = components(links)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -209,10 +219,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the smallest doc_id (nulls last), of equal ids the first row. Columns as they were."""
+def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id (nulls last), of equal ids the first row. Columns as they were.
+
+    Components are those of near_duplicates(), with its similarity.
+    """
     rows = table(docs.select(row(docs), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("uid")))
-    found = near_duplicates(rows.select("uid", F.col("row")[text].alias("text")), "uid", "text").select(F.col("doc_id").alias("uid"), "component_id")
+    found = near_duplicates(rows.select("uid", F.col("row")[text].alias("text")), "uid", "text", similarity).select(F.col("doc_id").alias("uid"), "component_id")
     order = F.struct(F.col("id").isNull(), "id", "uid")
     kept = rows.select("uid", "id").join(found, "uid").groupBy("component_id").agg(F.min_by("uid", order).alias("uid")).select("uid")
     return rows.join(kept, "uid", "left_semi").select(*unpacked(docs))
