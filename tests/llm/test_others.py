@@ -108,6 +108,15 @@ def test_extraction_of_a_page(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("n", [3, 250])
+def test_share_of_siblings_at_any_size(n):
+    """The share of siblings with a node's tag is exact however many they are."""
+    nodes, blocks = html.parse("<body><section>" + "<p>Some words.</p>" * n + "<div>Buy now</div></section></body>")
+    rows = html.features(nodes, blocks)
+    share = {x.tag: rows[x.index, 13] for x in nodes if x.tag in ("p", "div")}
+    assert share == {"p": np.float32(n / (n + 1)), "div": np.float32(1 / (n + 1))}
+
+
 def test_held_out_accuracy():
     """Trained on made-up pages of one seed, tested on those of another."""
     model = html.trained()

@@ -15,6 +15,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,6 +201,7 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
             a[x.parent.index] += a[x.index]
     total = max(1.0, chars[0])
     bad_above, good_above = np.zeros(n), np.zeros(n)
+    tags = [Counter(k.tag for k in x.kids) for x in nodes]
     rows = np.zeros((n, 24 + len(TAGS)), np.float32)
     seen = 0.0
     for x in nodes:
@@ -209,7 +211,7 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
             good_above[i] = good_above[p.index] + p.n_good + (p.tag in ("article", "main"))
         sibs = len(p.kids) if p else 1
         of_parent = chars[i] / max(1.0, chars[p.index]) if p else 1.0
-        same = sum(k.tag == x.tag for k in p.kids) / sibs if p and sibs < 200 else 1.0
+        same = tags[p.index][x.tag] / sibs if p else 1.0
         rows[i, :24] = (
             np.log1p(chars[i]), chars[i] / total, chars[i] / size[i], link_chars[i] / max(1.0, chars[i]), links[i] / size[i], np.log1p(links[i]),
             paragraphs[i], stops[i] / max(1.0, chars[i]) * 100, np.log1p(size[i]), long[i], x.depth, sibs, of_parent, same, i / n, seen / total,
