@@ -174,6 +174,13 @@ def test_every_known_text_has_a_hint(spark):
     assert digests.count() == digests.select("digest").distinct().count()
 
 
+def test_names_between_underscores(spark):
+    """The canonical form takes _ for a space, so the quick test must as well."""
+    lines = ["_MIT_", "__ISC__", "_Apache-2.0_", "_CC0-1.0_", "a_mit_b", "_permit_"]
+    got = {r.doc_id: r.line_licenses for r in licences.scan(docs(spark, lines)).collect()}
+    assert [got[i] for i in range(6)] == ["MIT", "ISC", "Apache-2.0", "CC0-1.0", "", ""]
+
+
 # --- top-k -------------------------------------------------------------------------------------------------------------
 
 

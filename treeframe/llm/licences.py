@@ -118,7 +118,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 #: Every known text has one of these words; a line without any can have no known digest.
-HINT = r"(?i)licen[cs]e|warrant|permi(?:ssion|tted)|redistribut|\b(?:mit|isc|bsd|cc0|cc|apache|a?l?gpl|mpl|gnu|mozilla|creative|software|origin|altered|notice)\b"
+HINT = r"(?i)licen[cs]e|warrant|permi(?:ssion|tted)|redistribut|(?<![\p{L}\p{N}])(?:mit|isc|bsd|cc0|cc|apache|a?l?gpl|mpl|gnu|mozilla|creative|software|origin|altered|notice)(?![\p{L}\p{N}])"
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
