@@ -1,10 +1,13 @@
-"""Line dedup: repeated runs of lines, found with a suffix array of the corpus's line sequences, lose their later copies.
+"""Line dedup: repeated runs of lines, found by prefix doubling over the corpus's line sequences, lose their later copies.
 
-The suffix array is built by prefix doubling. After round k the suffixes that share their first 2^k lines form one
-interval, and an interval is named by one of its members; round k + 1 names pairs of neighbours' names. Intervals of one
-suffix are dropped at once, since nothing longer in them can repeat: what a round leaves are the intervals whose longest
-common prefix has that many lines. A run of any length m is the pair of the names at its two ends of the largest
-2^k <= m, so its occurrences are found without further rounds.
+After round k the places that share their first 2^k lines form one interval, and an interval is named by one of its
+members; round k + 1 names pairs of neighbours' names. Intervals of one place are dropped at once, since nothing longer
+in them can repeat. A run of any length m is the pair of the names at its two ends of the largest 2^k <= m, so its
+occurrences are found without further rounds.
+
+No suffix array is built, and maximal runs are not listed: rounds end at the length of the shortest runs that have the
+words, and the lines of these runs are the lines of the maximal ones. With min_words=1 such a run is a single line, so
+there is one round, which groups equal lines.
 """
 
 from __future__ import annotations
