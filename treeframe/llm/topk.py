@@ -1,10 +1,13 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Every vector is stored twice: as it is, and as cells, its components divided by the cell's width. For a query q and a
+A block of exact vectors is also turned into cells, its components divided by the cell's width. For a query q and a
 vector v in cells c of width w, the score q.v lies between w q.c + (w - 1) min-part(q) and w q.c + (w - 1) max-part(q),
 so one product with the small cells bounds it from both sides. The scan of the cells leaves the vectors whose upper bound
-reaches the k-th highest lower bound; of these the exact vectors are read in the order of their bounds until the k-th
-exact score is above every bound that remains.
+reaches the k-th highest lower bound of the block; of these the exact vectors are scored in the order of their bounds
+until the k-th exact score is above every bound that remains.
+
+The cells are no file of their own: they are made anew for each pair of blocks from the exact vectors, which are shipped
+whole. They save products of exact vectors, not reading them, and bounds hold within a block.
 
 Queries and vectors are packed into blocks. A block of vectors is scanned once for each block of queries and hands on the
 best k for each query; the best of all blocks are then ranked.
