@@ -81,11 +81,12 @@ def alike(docs: DataFrame, similarity: float) -> DataFrame:
     rows, however large a group is, and what is not compared is linked through a third or in another band, or missed.
     """
     rows = table(docs.mapInArrow(_signatures, "uid long, digest long, n int, bands array<long>"))
-    one = rows.groupBy("digest", "n").agg(F.min("uid").alias("id"))
+    one = table(rows.groupBy("digest", "n").agg(F.min("uid").alias("id")))
     same = rows.select("uid", "digest", "n").join(one, ["digest", "n"]).filter("uid <> id").select(F.col("uid").alias("a"), F.col("id").alias("b"))
     keys = table(rows.join(one.select(F.col("id").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("id"), "n", F.explode("bands").alias("key")))
     place = F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")
-    ends = keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.id <> hi.id")
+    # Written before it is joined: then a band that very many texts share is split among tasks.
+    ends = table(keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.id <> hi.id"))
     pairs = keys.join(ends, "key").select("id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("id <> end.id")
     pairs = pairs.filter(F.least("n", "end.n") >= similarity * F.greatest("n", "end.n"))
     pairs = table(pairs.select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b")).distinct())

@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Stored, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable from node, for each node of links(a, b).
 
-    Large-star and small-star rounds (Kiveris et al., 2014) with minima and joins instead of lists of neighbours:
-    no task holds a node's links, and a node with very many links is a skewed join that Spark splits. The number of
-    rounds grows with the logarithm of the longest path. Every round is written to the shared folder.
+    Large-star and small-star rounds (Kiveris et al., 2014) with minima and joins instead of lists of neighbours: no task
+    holds a node's links. Minima are written before they are joined, so the join of a node with very many links is one that
+    Spark can split. The number of rounds grows with the logarithm of the longest path. Every round is written to the
+    shared folder, and dropped once the next one is.
     """
-    edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
-        large = _large_star(edges)
-        small = table(_small_star(large))
-        changed = small.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(small, ["u", "v"], "left_anti").limit(1).count()
+        large = _large_star(edges.df)
+        small = _small_star(large.df)
+        large.drop()
+        changed = small.df.join(edges.df, ["u", "v"], "left_anti").limit(1).count() or edges.df.join(small.df, ["u", "v"], "left_anti").limit(1).count()
+        edges.drop()
         edges = small
         if not changed:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+    return edges.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.df.select(F.col("v"), F.col("v")).distinct())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> Stored:
     """Each larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    out = stored(both.filter("v > u").join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+    least.drop()
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> Stored:
     """A node and its smaller neighbours are linked to the smallest of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
+    out = stored(edges.join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.df.select("u", F.col("m").alias("v"))).distinct())
+    least.drop()
+    return out

@@ -6,8 +6,9 @@ folded by a Spark higher-order aggregate. For a unigram model the fold is Viterb
 public 32k vocabulary) Viterbi would give other pieces than the model's own rule, so the fold there merges the
 neighbours whose joint edge scores best, until no edge joins two neighbours.
 
-The encoded words are a table of at most HOT_WORDS rows, broadcast to the tasks that encode texts; the words beyond it
-are folded where they stand, by the same rule. No text is shuffled.
+The encoded words are a table of at most HOT_WORDS rows, sent to the tasks that encode texts; the words beyond it
+are folded where they stand, by the same rule. No text is shuffled. The README has figures on what share of words and of
+tokens goes through the relation, and on what all words would cost.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -25,11 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import let, read, row, table, unpacked
+from .common import let, read, row, stored, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: So many words, the most frequent, are encoded in the relation and broadcast (some 20 MB).
-HOT_WORDS = 1 << 17
+#: So many words, the most frequent, are encoded in the relation and broadcast (some 20 MB as Arrow; HOT_CHARS bounds each).
+HOT_WORDS = 1 << 19
 #: Longer words are never broadcast.
 HOT_CHARS = 32
 SPACE = "▁"
@@ -68,6 +70,8 @@ class Pieces:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.longest = max(map(len, self.ids), default=1)
+        #: An edge of the lattice is keyed by its begin times this plus its length.
+        self.stride = self.longest + 1
         #: Places of the scores, the best first; equal scores share a place.
         places = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank, self.unranked = {p: places[self.scores[i]] for p, i in self.ids.items()}, len(places)
@@ -208,16 +212,17 @@ def lattice(words: DataFrame, model: Pieces) -> DataFrame:
     size) and the grouping keep that, so nothing else is shuffled.
     """
     pieces = F.broadcast(model.table(words.sparkSession))
-    words = words.select("word", F.char_length("word").alias("n")).repartition("word")
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // 8192))
+    words = words.select("word", F.char_length("word").alias("n")).repartition(tasks, "word")
     begins = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     subs = begins.select("word", "n", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("i") + 1))).alias("m"))
     edges = subs.withColumn("piece", F.substring(F.col("word"), F.col("i"), F.col("m"))).join(pieces, "piece", "left").filter("id IS NOT NULL OR m = 1")
     grouped = edges.groupBy("word", "n").agg(F.collect_list(F.struct("i", "m", "id", "score")).alias("e"))
-    by_place = F.map_from_entries(F.transform("e", lambda e: F.struct((e["i"] * 64 + e["m"]).alias("k"), F.struct(e["id"].alias("id"), e["score"].alias("score")).alias("v"))))
+    by_place = F.map_from_entries(F.transform("e", lambda e: F.struct((e["i"] * model.stride + e["m"]).alias("k"), F.struct(e["id"].alias("id"), e["score"].alias("score")).alias("v"))))
     grouped = grouped.withColumn("edges", by_place)
     fold = _fold_bpe if model.model_type == BPE else _fold_viterbi
     worst = min((model.scores[i] for i in model.ids.values()), default=0.0) - 10.0
-    spans = grouped.select("word", "edges", fold(F.col("n"), F.col("edges"), worst).alias("spans"))
+    spans = grouped.select("word", "edges", fold(F.col("n"), F.col("edges"), worst, model).alias("spans"))
     # A span without a piece is one character: its bytes.
     first = min(model.bytes.values(), default=0)
     utf8 = lambda c: F.filter(F.split(F.regexp_replace(F.hex(c.cast("binary")), "(..)", "$1,"), ","), lambda x: x != "")
@@ -225,22 +230,23 @@ def lattice(words: DataFrame, model: Pieces) -> DataFrame:
     ids = F.flatten(
         F.transform(
             "spans",
-            lambda s: F.when(F.try_element_at("edges", s["i"] * 64 + s["m"])["id"].isNotNull(), F.array(F.try_element_at("edges", s["i"] * 64 + s["m"])["id"])).otherwise(
-                as_bytes(F.substring(F.col("word"), s["i"], s["m"]))
+            lambda s: let(
+                F.try_element_at("edges", s["i"] * model.stride + s["m"])["id"],
+                lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(as_bytes(F.substring(F.col("word"), s["i"], s["m"]))),
             ),
         )
     )
     return spans.select("word", ids.alias("ids"))
 
 
-def _fold_bpe(n: Column, edges: Column, worst: float) -> Column:
+def _fold_bpe(n: Column, edges: Column, worst: float, model: Pieces) -> Column:
     """Symbols (i, m) in order; each of n - 1 rounds joins the neighbours of the best edge, the leftmost of equal ones."""
     start = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.lit(1).alias("m")))
 
     def merge(s: Column, _: Column) -> Column:
         def edge(x: Column, k: Column) -> Column:
             whole = x["m"] + F.get(s, k + 1)["m"]
-            return F.struct(F.try_element_at(edges, x["i"] * 64 + F.when(whole < 64, whole))["score"].alias("score"), (-k).alias("k"))
+            return F.struct(F.try_element_at(edges, x["i"] * model.stride + F.when(whole <= model.longest, whole))["score"].alias("score"), (-k).alias("k"))
 
         best = F.array_max(F.filter(F.transform(s, edge), lambda e: e["score"].isNotNull()))
 
@@ -255,18 +261,18 @@ def _fold_bpe(n: Column, edges: Column, worst: float) -> Column:
     return F.aggregate(rounds, start, merge)
 
 
-def _fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
+def _fold_viterbi(n: Column, edges: Column, worst: float, model: Pieces) -> Column:
     """best[j]: the score of the best path to place j, and the length of its last edge; then the path read backwards."""
     none = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("m")))
 
     def step(best: Column, j: Column) -> Column:
         def into(m: Column) -> Column:
             i = j - m + 1
-            score = F.coalesce(F.try_element_at(edges, i * 64 + m)["score"], F.when(m == 1, F.lit(worst)))
+            score = F.coalesce(F.try_element_at(edges, i * model.stride + m)["score"], F.when(m == 1, F.lit(worst)))
             return F.struct((F.get(best, j - m)["score"] + score).alias("score"), m.alias("m"))
 
         # array_max takes the longer of equal edges last, as the reference rule does: the earlier begin wins.
-        top = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.least(j, F.lit(63))), into), lambda e: e["score"].isNotNull()))
+        top = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.least(j, F.lit(model.longest))), into), lambda e: e["score"].isNotNull()))
         return F.concat(best, F.array(top))
 
     def path(best: Column) -> Column:
@@ -286,7 +292,7 @@ def _fold_viterbi(n: Column, edges: Column, worst: float) -> Column:
 def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFrame:
     """(word): the most frequent chunks of all texts, at most `limit`, counted over all of them.
 
-    The words are not ranked: counts fall into classes, 16 for each doubling, and the highest classes that hold no more than
+    Words longer than HOT_CHARS are left out. The words are not ranked: counts fall into classes, 16 for each doubling, and the highest classes that hold no more than
     `limit` words together are taken. The driver sees a row for each class, some hundreds however large the corpus is.
     """
 
@@ -306,7 +312,7 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
         yield flush()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    counted = table(counted.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class")))
+    counted = stored(counted.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class"))).df
     least, have = math.inf, 0
     for r in sorted(counted.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["class"]):
         have += r.words
@@ -323,56 +329,72 @@ class _Known(dict):
     that Python's cyclic garbage collector would look through again and again, as it would through lists.
     """
 
-    CACHED = 1 << 17
+    CACHED = 1 << 18
 
-    def __init__(self, model: Pieces, hot: dict[str, list[int]]) -> None:
-        self.model, self.hot = model, {w: self.entry(model, ids) for w, ids in hot.items()}
-        super().__init__(self.hot)
+    def __init__(self, model: Pieces, words: pa.Table) -> None:
+        self.model, self.n_hot = model, words.num_rows
+        for b in words.to_batches():
+            for word, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                self[word] = self.entry(word, ids.values.to_numpy().tolist())
+        self.later: list[str] = []
 
-    @staticmethod
-    def entry(model: Pieces, ids: list[int]) -> tuple[bytes, str]:
-        return array("i", ids).tobytes(), model.spelled(ids)
+    def entry(self, word: str, ids: list[int]) -> tuple[bytes, str]:
+        spelled = self.model.spelled(ids)
+        return array("i", ids).tobytes(), word if spelled == word else spelled
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= len(self.hot) + self.CACHED:
-            self.clear()
-            self.update(self.hot)
+        if len(self.later) >= self.CACHED:
+            for w in self.later:
+                del self[w]
+            self.later.clear()
         ids = self.model.fold(word) if len(word) <= 256 else fold_long(self.model, word)
-        self[word] = out = self.entry(self.model, ids)
+        self[word] = out = self.entry(word, ids)
+        self.later.append(word)
         return out
 
 
+#: What a Python worker knows from the tasks before, by the call that it belongs to.
+_known: dict[str, _Known] = {}
+
+
 def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WORDS) -> DataFrame:
     """docs with _ids (the text's piece ids), _n_tokens and _decoded_ok (decoding the ids gives the text back).
 
     Null and empty texts have no ids. Texts are encoded whole, however long. Characters that no piece has become their bytes. Every
-    row of docs gives a row, and its other columns stay as they are. A text is decoded word by word, as it is encoded: no piece
-    and no character's bytes reach over the end of a word.
+    row of docs gives a row, and its other columns stay as they are; one named like a result is an error. A text is decoded word by
+    word, as it is encoded: no piece and no character's bytes reach over the end of a word.
     """
-    vocabulary = lattice(table(hot_words(docs, text, model, hot)), model)
-    spark = docs.sparkSession
-    hot_ids = {r.word: r.ids for r in vocabulary.toLocalIterator()}  # at most `hot` rows
-    shared = spark.sparkContext.broadcast((model, hot_ids))
+    result = unpacked(docs, _ids=F.col("ids"), _n_tokens=F.col("n_tokens"), _decoded_ok=F.col("ok"))
+    vocabulary = lattice(hot_words(docs, text, model, hot), model).select("word", "ids").toArrow()  # at most `hot` rows of short words
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, vocabulary.schema) as out:
+        out.write_table(vocabulary, max_chunksize=1 << 16)
+    packed, call = sink.getvalue().to_pybytes(), uuid.uuid4().hex  # Spark sends what a function holds once to each executor
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(*shared.value)
-        model, word = known.model, known.__getitem__
+        from treeframe.llm import pieces as own
+
+        if call not in own._known:
+            own._known.clear()
+            own._known[call] = _Known(model, pa.ipc.open_stream(packed).read_all())
+        known = own._known[call]
+        word = known.__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids, ok = [], []
                 for x in part.column(0).field(place):
                     x = x.as_py() or ""
-                    own = list(map(word, model.chunks(x)))
-                    ids.append(np.frombuffer(b"".join([i for i, _ in own]), np.int32))
-                    ok.append(model.unescaped("".join([t for _, t in own])) == x)
+                    own_words = list(map(word, model.chunks(x)))
+                    ids.append(np.frombuffer(b"".join([i for i, _ in own_words]), np.int32))
+                    ok.append(model.unescaped("".join([t for _, t in own_words])) == x)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], names=["row", "ids", "n_tokens", "ok"])
 
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ok", T.BooleanType())])
-    return docs.select(row(docs)).mapInArrow(run, schema).select(*unpacked(docs, _ids=F.col("ids"), _n_tokens=F.col("n_tokens"), _decoded_ok=F.col("ok")))
+    return docs.select(row(docs)).mapInArrow(run, schema).select(*result)
 
 
 def fold_long(model: Pieces, word: str) -> list[int]:
@@ -410,6 +432,7 @@ def fold_long(model: Pieces, word: str) -> list[int]:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode() of all documents with the public model; ids_sha256 is that of the ids in decimal, joined by spaces."""
     out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), load())
     ids = F.array_join(F.transform("_ids", lambda x: x.cast("string")), " ")
     return out.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.col("_decoded_ok").alias("round_trip"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, let, read, row, table, unpacked, words
+from .common import WORD, let, met, read, row, table, unpacked, words
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -67,7 +67,8 @@ def host_verdicts(judged: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
     hosts = judged.filter("host IS NOT NULL").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")
     )
-    prior = hosts.agg(
+    hosts = table(hosts)  # a row for each host
+    sums = hosts.agg(
         F.sum("n").alias("all_n"),
         (F.sum("n_failed") / F.sum("n")).alias("m"),
         F.count(F.lit(1)).alias("h"),
@@ -75,14 +76,11 @@ def host_verdicts(judged: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
     ).select(
         "m",
         F.greatest(F.col("sq") / F.col("all_n") - F.col("m") * F.col("m") - F.col("m") * (1 - F.col("m")) * (F.col("h") - 1) / F.col("all_n"), F.lit(1e-9)).alias("v"),
-    ).select("m", F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)).alias("k"))
-    one = F.lit(1)
-    return (
-        hosts.withColumn("_one", one)
-        .join(F.broadcast(prior.withColumn("_one", one)), "_one")  # one row
-        .withColumn("rate", (F.col("n_failed") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k")))
-        .select("host", "n", "n_failed", "rate", (F.col("rate") <= max_host_rate).alias("host_ok"))
     )
+    # One row of two numbers, which the driver hands on as constants.
+    m, k = sums.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).first()
+    rate = (F.col("n_failed") + F.lit(k) * F.lit(m)) / (F.col("n") + F.lit(k)) if m is not None else F.lit(None).cast("double")
+    return hosts.withColumn("rate", rate).select("host", "n", "n_failed", "rate", (F.col("rate") <= max_host_rate).alias("host_ok"))
 
 
 def judge(
@@ -97,21 +95,25 @@ def judge(
     failed = (F.col("_m.n_words") < min_words) | (100 * F.col("_m.n_repeat_words") > round(100 * max_repeat) * F.col("_m.n_words"))
     m = table(m.withColumn("base_failed", failed))  # a few numbers for each document, read twice
     hosts = host_verdicts(m.select(F.col("_host").alias("host"), "base_failed"), max_host_rate).select(F.col("host").alias("_host"), "host_ok", F.col("rate").alias("host_rate"))
-    return m.join(hosts, "_host", "left").select(
+    return met(m, hosts, "_host").select(
         *keep, *[F.col(f"_m.{c}").alias(c) for c in METRICS], "base_failed", "host_rate", (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept")
     )
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat: float = 0.5, max_host_rate: float = 0.5) -> DataFrame:
-    """docs without the rows that the rules or their hosts reject; columns as they were, whatever their names."""
+    """docs without the rows that the rules or their hosts reject; columns as they were, whatever their names.
+
+    Texts are not dealt out by host: the hosts rejected are brought to the rows instead.
+    """
     m = docs.select(row(docs), F.col(host).alias("host"), metrics(F.col(text)).alias("m"))
     bad = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > round(100 * max_repeat) * F.col("m.n_words"))
     judged = table(m.select("row", "host", bad.alias("base_failed")))
-    hosts = host_verdicts(judged.select("host", "base_failed"), max_host_rate).filter("NOT host_ok").select("host")
-    return judged.filter("NOT base_failed").join(hosts, "host", "left_anti").select(*unpacked(docs))
+    hosts = table(host_verdicts(judged.select("host", "base_failed"), max_host_rate).filter("NOT host_ok").select("host", F.lit(True).alias("out")))
+    return met(judged.filter("NOT base_failed"), hosts, "host").filter("out IS NULL").select(*unpacked(docs))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() of all documents with its defaults."""
     return judge(read(spark, sf_dir, "documents")).drop("host_rate")
 
 

@@ -16,16 +16,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, row, table, unpacked
+from .common import digests, hashable, numbered, read, row, table, unpacked
 
-#: Bytes of text that a bucket holds on average at most.
-BUCKET_BYTES = 64 << 20
+#: There are so many buckets or fewer as long as none need hold more than BUCKET_BYTES of text; none is made smaller than LEAST_BYTES.
+BUCKETS, LEAST_BYTES, BUCKET_BYTES = 4096, 8 << 20, 512 << 20
 #: A bucket holds at most so many rows on average, however short they are.
 BUCKET_ROWS = 1 << 20
 #: Rows handed on at a time after a bucket's shuffle.
 BATCH = 4096
 
 
+def n_buckets(rows: int, size: int) -> int:
+    """How many buckets a table of so many rows and bytes is scattered into. Nothing else decides it, so reruns agree on any cluster."""
+    each = min(max(size // BUCKETS, LEAST_BYTES), BUCKET_BYTES)
+    return max(math.ceil(size / each), math.ceil(rows / BUCKET_ROWS), 1)
+
+
 def _shuffle(seed: int, bucket: str = "_bucket", order: tuple[str, ...] = ("_h", "_h2")):
     """Rows come sorted by bucket; each bucket leaves in a random order of its own, with its places 0, 1, ... in _place."""
 
@@ -55,22 +61,26 @@ def _shuffle(seed: int, bucket: str = "_bucket", order: tuple[str, ...] = ("_h",
     return run
 
 
-def shuffle_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", key: str = "doc_id", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", seed: int = 7) -> DataFrame:
     """docs with _shard (0 to n_shards - 1) and _slot (0, 1, ... in each shard, without gaps), in the order of a random shuffle.
 
-    Counts of shards differ by one row at most. A row's bucket comes from a hash of its key and text, so texts or keys
-    that many rows share don't meet in one bucket unless both are equal; such rows are interchangeable. Null keys and texts hash
-    like values. Reruns give the same shards and slots. An empty table gives an empty one. Columns of docs stay as they are.
+    Counts of shards differ by one row at most. A row's bucket comes from a hash of all its columns, and of its number among the
+    rows that are equal in all of them: whatever many rows share, they are spread over the buckets. Such equal rows are
+    interchangeable, so reruns give the same shards and slots, however the rows are dealt to partitions. Nulls hash like
+    values. An empty table gives an empty one. Columns of docs stay as they are; one named _shard or _slot is an error.
+    docs must give the same rows when read twice, as a table does.
     """
-    spark = docs.sparkSession
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
-    buckets = max(math.ceil((size or 0) / bucket_bytes), math.ceil(n / BUCKET_ROWS), min(n or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = docs.select(row(docs), h.alias("_h"), F.xxhash64(F.col(text), F.col(key)).alias("_h2"), F.pmod(h, F.lit(buckets)).cast("int").alias("_bucket"))
+    buckets = n_buckets(n, size or 0)
+    a, b = digests(hashable(docs))
+    rows = numbered(docs.select(row(docs), a.alias("_a"), b.alias("_b")), ["_a", "_b"], "_copy")
+    h = F.xxhash64(F.lit(seed), "_a", "_copy")
+    rows = rows.select("row", h.alias("_h"), F.xxhash64("_b", "_copy").alias("_h2"), F.pmod(h, F.lit(buckets)).cast("int").alias("_bucket"))
     counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
     offsets = table(counts.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset")))
     schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType())])
-    out = rows.repartition(buckets, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_shuffle(seed), schema)
+    # A partition for each bucket: dealt by a hash of its number, several buckets would fall to one task.
+    out = rows.repartitionById(buckets, F.col("_bucket")).sortWithinPartitions("_bucket").mapInArrow(_shuffle(seed), schema)
     offsets = F.broadcast(offsets) if buckets <= 1 << 18 else offsets  # 4 MB at most, else a join
     out = out.join(offsets, out["_bucket"] == offsets["_b"]).withColumn("_rank", F.col("_offset") + F.col("_place"))
     return out.select(*unpacked(docs, _shard=F.pmod("_rank", F.lit(n_shards)).cast("int"), _slot=F.floor(F.col("_rank") / n_shards)))
@@ -83,6 +93,7 @@ def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
 
 
 def op7_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shuffle_shards() of all documents into 16 shards, under the law `rows`."""
     out = shuffle_shards(read(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return out.select(

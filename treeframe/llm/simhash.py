@@ -146,45 +146,49 @@ def forest(fp: np.ndarray, home: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (anchor, part); a group may go on in the next batch."""
-
-    def links(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(begin, len(key)))
-        busy = (size > 1) & (np.add.reduceat(home.astype(np.int64), begin) > 0)
-        found = [forest(fp[i : i + n], home[i : i + n]) for i, n in zip(begin[busy].tolist(), size[busy].tolist(), strict=True)]
-        if found and len(x := np.unique(np.concatenate(found), axis=0)):
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(x[:, 1]).view(np.int64))], ["a", "b"])
-
-    kept = None
+    """Rows (anchor, part, home, fp) come sorted by (anchor, part); a group may go on over many batches, and is put together once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
+
+    def links() -> Iterator[pa.RecordBatch]:
+        home, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        if len(fp) > 1 and home.any() and len(x := np.unique(forest(fp, home), axis=0)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+
     for b in batches:
-        key = b.column(0).to_numpy(zero_copy_only=False) * 4096 + b.column(1).to_numpy(zero_copy_only=False)
-        now = (key, b.column(2).to_numpy(zero_copy_only=False).astype(bool), b.column(3).to_numpy(zero_copy_only=False).view(np.uint64))
-        now = tuple(map(np.concatenate, zip(kept, now, strict=True))) if kept else now
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
-        yield from links(*(x[:cut] for x in now))
-        kept = tuple(x[cut:] for x in now)
-    if kept:
-        yield from links(*kept)
+        anchor, part, home, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        home, fp = home.astype(bool), fp.view(np.uint64)
+        cuts = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])))).tolist() if len(fp) else []
+        for i, j in zip(cuts, [*cuts[1:], len(fp)], strict=True):
+            if held and last != (anchor[i], part[i]):
+                yield from links()
+            last = (anchor[i], part[i])
+            held.append((home[i:j], fp[i:j]))
+    if held:
+        yield from links()
 
 
 def near_links(fps: DataFrame, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """(a, b): links between different fingerprints of fps(fp) that connect all those with MAX_BITS or fewer differing bits."""
+    """(a, b): links between different fingerprints of fps(fp) that connect all those with MAX_BITS or fewer differing bits.
+
+    The fingerprints of an anchor with very many at home are dealt to n parts: each of n * n tasks compares one part, as those at
+    home, with another, as those near. No task holds more than two parts.
+    """
     fps = fps.select("fp").distinct()
     rows = fps.mapInArrow(_replicate, "anchor long, home boolean, fp long")
     hot = rows.filter("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_homes)
-    hot = table(hot.select("anchor", F.least(F.ceil(F.col("n") / hot_homes), F.lit(4095)).cast("int").alias("parts")))
+    hot = table(hot.select("anchor", F.ceil(F.col("n") / hot_homes).cast("int").alias("n")))
     if hot.isEmpty():
-        rows = rows.withColumn("part", F.lit(0))
-    else:  # homes are dealt to parts; every part sees all fingerprints of the anchor
-        rows = rows.join(hot, "anchor", "left")
-        own = F.when(F.col("home"), F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))).cast("int")
-        rows = rows.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        rows = rows.withColumn("home", F.col("home") & (F.col("own") == F.col("part")))
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    else:
+        own = F.pmod(F.xxhash64("fp"), F.col("n").cast("long"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)
+        near = F.transform(every, lambda i: F.struct((i * F.col("n") + own).alias("part"), F.lit(False).alias("home")))
+        at_home = F.transform(every, lambda j: F.struct((own * F.col("n") + j).alias("part"), F.lit(True).alias("home")))
+        alone = F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("home").alias("home")))
+        dealt = F.when(F.col("n").isNull(), alone).when(F.col("home"), F.concat(near, at_home)).otherwise(near)
+        rows = rows.join(hot, "anchor", "left").select("anchor", "fp", F.explode(dealt).alias("x")).select("anchor", "x.part", "x.home", "fp")
     rows = rows.select("anchor", "part", "home", "fp").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return rows.mapInArrow(_compare, "a long, b long").distinct()
 
@@ -208,6 +212,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             more = more.join(rows.select(F.col("doc_id").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         links = links.union(more.filter("fp_a <> fp_b").select("fp_a", "fp_b"))
     roots = components(links)
+    # Equal texts give one fingerprint: what is joined by it is written before, so that one of very many rows is split.
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -216,6 +221,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents, by their fingerprints alone."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

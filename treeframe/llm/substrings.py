@@ -4,13 +4,14 @@ Levels are lengths, each about twice the one before (9, 18 and 35 words for wind
 if the shorter runs of words in it repeat, so a level looks only at windows that the levels before have left. Within a
 window a level looks at one run alone, the one with the least hash: equal windows choose equal runs. Runs chosen in
 any document are counted; windows whose run stands once in all documents are no candidates any more. At the last
-level the run is the whole window.
+level the run is the whole window, and two 64-bit hashes tell windows apart.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, read, table, tidy
+from .common import Stored, read, stored, table
 
 WINDOW = 35
 SHORTEST = 9
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+#: Seed of the second hash of a word.
+SECOND = 1
 
 
 def levels(window: int) -> list[int]:
@@ -34,8 +37,8 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
 def grams(h: np.ndarray, length: int, known: dict[int, np.ndarray]) -> np.ndarray:
@@ -71,23 +74,37 @@ def candidates(h: np.ndarray, window: int, left: list[np.ndarray], known: dict[i
     return ok
 
 
-def chosen(words: list[bytes], window: int, left: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs that the candidates choose at the next level, each once, and how often each starts in the text (2 for more)."""
+def chosen(words: list[bytes], window: int, left: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that the candidates choose at the next level, each once, as (hash, second hash, how often each starts in the text, 2 for more).
+
+    Second hashes are zero but at the last level.
+    """
     if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     h, known = word_hashes(words), {}
     length = levels(window)[len(left)]
     runs = grams(h, length, known)
-    pick = np.unique(sliding_min(runs, window - length + 1)[candidates(h, window, left, known)])
+    ok = candidates(h, window, left, known)
+    if length == window:
+        second = grams(word_hashes(words, SECOND), length, {})
+        pairs, n = np.unique(np.stack([runs, second], axis=1), axis=0, return_counts=True) if len(runs) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+        held = np.isin(pairs[:, 0], runs[ok])
+        return np.ascontiguousarray(pairs[held, 0]), np.ascontiguousarray(pairs[held, 1]), np.minimum(2, n[held])
+    pick = np.unique(sliding_min(runs, window - length + 1)[ok])
     runs = np.sort(runs)
-    return pick, np.minimum(2, np.searchsorted(runs, pick, "right") - np.searchsorted(runs, pick, "left"))
+    return pick, np.zeros(len(pick), np.uint64), np.minimum(2, np.searchsorted(runs, pick, "right") - np.searchsorted(runs, pick, "left"))
 
 
-def removed(words: list[bytes], window: int, left: list[np.ndarray], copies: int = 1) -> np.ndarray:
-    """Which words stand in a window that repeats; left has the hashes of all levels."""
+def removed(words: list[bytes], window: int, left: list[np.ndarray], second: np.ndarray, copies: int = 1) -> np.ndarray:
+    """Which words stand in a window that repeats; left has the hashes of all levels, second those of the last by the other seed."""
     gone = np.zeros(len(words) + 1, np.int64)
     if len(words) >= window:
-        start = np.flatnonzero(np.ones(len(words) - window + 1, bool) if copies > 1 else candidates(word_hashes(words), window, left, {}))
+        ok = np.ones(len(words) - window + 1, bool)
+        if copies < 2:
+            ok = candidates(word_hashes(words), window, left, {})
+            if ok.any():
+                ok &= np.isin(grams(word_hashes(words, SECOND), window, {}), second)
+        start = np.flatnonzero(ok)
         np.add.at(gone, start, 1)
         np.add.at(gone, start + window, -1)
     return np.cumsum(gone)[:-1] > 0
@@ -97,21 +114,7 @@ def _hashes(x: pa.Scalar) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.empty(0, np.uint64)
 
 
-def _rows(keys: list[int], picks: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    n = [len(x) for x in picks]
-    h = np.concatenate([*picks, np.empty(0, np.uint64)]).astype(np.uint64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int32))], ["h", "key", "n"]
-    )
-
-
-def _first_level(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [chosen(x.as_py().encode("utf-8", "surrogatepass").split(), window, []) for x in b.column(1)]
-            yield _rows(b.column(0).to_pylist(), [x for x, _ in found], [y for _, y in found])
-
-    return run
+_ROWS = "h long, h2 long, key binary, n int"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +128,19 @@ def _unpack(z: bytes, size: int) -> list[bytes]:
     return pa.decompress(z, size, "zstd", asbytes=True).split() if size else []
 
 
-def _next_level(window: int):
+def _level(window: int):
+    """Rows are (key, z, size, copies, hashes of the levels before): the runs that each text chooses next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, picks, counts = [], [], []
-            for key, z, size, copies, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
-                pick, n = chosen(_unpack(z.as_py(), size.as_py()), window, [_hashes(x) for x in left])
-                keys.append(key.as_py())
-                picks.append(pick)
-                counts.append(np.full(len(n), 2) if copies.as_py() > 1 else n)
-            yield _rows(keys, picks, counts)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for _, z, size, copies, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
+                h, h2, n = chosen(_unpack(z.as_py(), size.as_py()), window, [_hashes(x) for x in left])
+                found.append((h, h2, np.full(len(n), 2) if copies.as_py() > 1 else n))
+            many = np.repeat(np.arange(b.num_rows), [len(h) for h, _, _ in found])
+            h, h2 = (np.concatenate([*(x[k] for x in found), np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64) for k in (0, 1))
+            n = np.concatenate([*(x[2] for x in found), np.empty(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(pa.array(many)), pa.array(n)], ["h", "h2", "key", "n"])
 
     return run
 
@@ -143,51 +149,49 @@ def _result(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, z, size, copies, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
+            for key, z, size, copies, second, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
                 w = _unpack(z.as_py(), size.as_py())
-                gone = removed(w, window, [_hashes(x) for x in left], copies.as_py())
+                gone = removed(w, window, [_hashes(x) for x in left], _hashes(second), copies.as_py())
                 kept = b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
                 out.append((key.as_py(), len(w), int(gone.sum()), kept))
             names = ["key", "n_words", "n_removed", "kept_text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
     return run
 
 
-def _left(rows: DataFrame, name: str) -> DataFrame:
-    """(key, name): the runs of each text that start more than once in all texts."""
-    twice = rows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    return table(rows.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias(name)))
+def _left(rows: DataFrame, name: str) -> Stored:
+    """(key, name, name_2): the runs of each text that start more than once in all texts."""
+    # The runs are written before they are joined: then one that very many texts share is split among tasks.
+    twice = stored(rows.groupBy("h", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "h2"))
+    out = stored(rows.join(twice.df, ["h", "h2"], "left_semi").groupBy("key").agg(F.collect_set("h").alias(name), F.collect_set("h2").alias(f"{name}_2")))
+    twice.drop()
+    return out
 
 
 def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of each row of docs, and (key, n_words, n_removed, kept_text) of each different text."""
+    """(doc_id, key) of each row of docs, and (key, n_words, n_removed, kept_text) of each different text; the key is its MD5."""
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.xxhash64(value).alias("key"), value.alias("text"))
-    first = table(rows.mapInArrow(_first_level(window), "h long, key long, n int"))
-    s = _left(first, "s0")
-    discard(first)
+    key = F.unhex(F.md5(value))
     # One row for each text: copies meet in the map-side part of the aggregate.
-    packed = rows.mapInArrow(_pack, "key long, z binary, size long")
-    texts = packed.groupBy("key").agg(F.first("z").alias("z"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
-    texts = table(texts.join(s, "key", "left"))
-    discard(s)
-    in_question, last = texts.filter("s0 IS NOT NULL"), len(levels(window)) - 1
-    lost, names, found = in_question, ["s0"], in_question.select("key", "s0")
-    for i in range(1, last + 1):
-        more = table(lost.select("key", "z", "size", "copies", *names).mapInArrow(_next_level(window), "h long, key long, n int"))
-        s = _left(more, f"s{i}")
-        discard(more)
-        found = lost.select("key", *names).join(s, "key")
+    packed = docs.select(key.alias("key"), value.alias("text")).mapInArrow(_pack, "key binary, z binary, size long")
+    texts = stored(packed.groupBy("key").agg(F.first("z").alias("z"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))).df
+    found: Stored | None = None
+    names: list[str] = []
+    for i in range(len(levels(window))):
+        asked = texts.select("key", "z", "size", "copies")
+        asked = asked.filter(F.col("size") >= 2 * window - 1) if found is None else asked.join(found.df.select("key", *names), "key")
+        rows = stored(asked.mapInArrow(_level(window), _ROWS))
+        left = _left(rows.df, f"s{i}")
+        rows.drop()
+        now = left if found is None else stored(found.df.select("key", *names).join(left.df, "key"))
+        if found is not None:
+            found.drop()
+            left.drop()
         names.append(f"s{i}")
-        if i < last:
-            lost = table(lost.join(s, "key"))
-    columns = ["key", "z", "size", "copies"]
-    again = in_question.select(*columns).join(found, "key", "left").select(*columns, *names)
-    alone = texts.filter("s0 IS NULL").select(*columns, *[F.lit(None).cast("array<bigint>").alias(c) for c in names])
-    kinds = "key long, n_words long, n_removed long, kept_text binary"
-    tidy(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(value).alias("key")), again.mapInArrow(_result(window), kinds).union(alone.mapInArrow(_result(window), kinds))
+        found = now
+    judged = texts.join(found.df.withColumnRenamed(f"{names[-1]}_2", "second"), "key", "left").select("key", "z", "size", "copies", "second", *names)
+    return docs.select(F.col(doc_id).alias("doc_id"), key.alias("key")), judged.mapInArrow(_result(window), "key binary, n_words long, n_removed long, kept_text binary")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -198,14 +202,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts have no words. Texts of fewer words than a window keep all. Equal texts of a window or more lose all
     their words; they are one text in the search, so copies cost nothing. Repeated rows are copies and each give a row.
-    Runs are told apart by 64-bit hashes. Other columns of docs play no part, whatever their names.
+    Texts are told apart by their MD5, windows by two 64-bit hashes. Other columns of docs play no part, whatever their names.
     """
     ids, out = search(docs, doc_id, text, window)
     return ids.join(out, "key").select("doc_id", "n_words", "n_removed", F.col("kept_text").cast("string").alias("kept_text"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() of all documents with its defaults; kept_sha256 is that of the words that stay."""
     ids, out = search(read(spark, sf_dir, "documents"))
+    # Written first: then a text that very many rows share is split among tasks.
     out = table(out.select("key", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
     return ids.join(out, "key").drop("key")
 

@@ -1,16 +1,14 @@
 """Exact top-k by inner product with vector-approximation files.
 
-A block of exact vectors is also turned into cells, its components divided by the cell's width. For a query q and a
-vector v in cells c of width w, the score q.v lies between w q.c + (w - 1) min-part(q) and w q.c + (w - 1) max-part(q),
-so one product with the small cells bounds it from both sides. The scan of the cells leaves the vectors whose upper bound
-reaches the k-th highest lower bound of the block; of these the exact vectors are scored in the order of their bounds
-until the k-th exact score is above every bound that remains.
-
-The cells are no file of their own: they are made anew for each pair of blocks from the exact vectors, which are shipped
-whole. They save products of exact vectors, not reading them, and bounds hold within a block.
-
-Queries and vectors are packed into blocks. A block of vectors is scanned once for each block of queries and hands on the
-best k for each query; the best of all blocks are then ranked.
+Vectors equal in all components are one entry, with the smallest ids of its rows: no more of them can be among the best k.
+Every entry is kept twice: exact, and as cells of one byte for each component, which are its components divided by a width that all
+vectors of one length share. For a query q and an entry in cells c of width w the score lies between w q.c + (w - 1) min-part(q)
+and w q.c + (w - 1) max-part(q), so one product with the cells bounds it from both sides.
+
+The scan reads cells only, in blocks: a block of cells and a block of queries give, for each query, the entries whose
+upper bound reaches the k-th highest lower bound of the block. Of these, what reaches the k-th highest lower bound of all
+blocks is left. Exact vectors are then read in the order of the bounds: first those of the best k, and, once these have shown
+the k-th score, those whose bound still reaches it. What is not read has a score that is certain to be too low.
 """
 
 from __future__ import annotations
@@ -19,145 +17,166 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, table
 
 #: Components are multiplied by this and rounded down to integers.
 SCALE = 1024
-#: Vectors and queries of a block.
+#: Entries and queries of a block.
 BLOCK = 4096
 QUERIES = 512
-SALTS = 64
 #: Pairs of blocks are dealt to so many tasks at most.
 MOST_TASKS = 20_000
-#: Cells on each side of zero.
-CELLS = 64
-_PAIR = "dim int, block long, ids binary, vectors binary"
+#: Cells on each side of zero: a cell is one byte.
+CELLS = 128
 
 
-def quantise(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, dim, v): integer vectors. Rows without an id, and vectors null, empty or with a component that is no finite number, are left out."""
+def quantise(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """(uid, id, ask, dim, v): integer vectors. Rows without an id, and vectors null, empty or with a component that is no finite number, are left out."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("x")).filter("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("ask"), v.alias("x")).filter("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0")
     finite = F.forall("x", lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
-    return rows.filter(finite).select("id", F.size("x").alias("dim"), F.transform("x", lambda y: F.floor(y * scale).cast("long")).alias("v"))
+    return rows.filter(finite).select(F.monotonically_increasing_id().alias("uid"), "id", "ask", F.size("x").alias("dim"), F.transform("x", lambda y: F.floor(y * scale).cast("long")).alias("v"))
 
 
-def pack(rows: DataFrame, size: int) -> DataFrame:
-    """(dim, block, ids, vectors): blocks of `size` vectors of one length, as bytes of int64, scattered by a hash of id and vector."""
+def _pack(size: int):
+    """Rows (dim, part, entry, bytes), sorted by dim and part, as blocks of at most `size` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        key, ids, cells = None, [], []
 
-        def flush(key: int):
-            ids = np.concatenate([x for _, x, _ in held])
-            v = np.concatenate([x for _, _, x in held])
-            dim = v.size // len(ids)
-            for k, at in enumerate(range(0, len(ids), size)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim], pa.int32()), pa.array([key << 24 | k]), pa.array([ids[at : at + size].tobytes()]), pa.array([v.reshape(-1, dim)[at : at + size].tobytes()])], ["dim", "block", "ids", "vectors"]
-                )
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(cells)])], ["dim", "part", "entries", "bytes"])
+            ids.clear()
+            cells.clear()
+            return out
 
         for b in batches:
-            dims, part, ids = (b.column(i).to_numpy() for i in (0, 1, 2))
-            key = part.astype(np.int64) << 16 | dims
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist() if len(key) else []
-            for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
-                if held and (held[-1][0] != key[i] or sum(len(x) for _, x, _ in held) >= size):
-                    whole = held[-1][0]
-                    if whole != key[i]:
-                        yield from flush(whole)
-                        held = []
-                held.append((key[i], ids[i:j], b.column(3).slice(i, j - i).flatten().to_numpy()))
-        if held:
-            yield from flush(held[-1][0])
-
-    n = max(1, -(-rows.count() // size))
-    parted = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias("part"), "id", "v")
-    return table(parted.repartition(n, "dim", "part").sortWithinPartitions("dim", "part", "id").mapInArrow(run, _PAIR))
-
-
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector id, score) of the k best vectors for each query, ties to the smaller id; a query's own id is no candidate."""
-    most = int(np.abs(v).max(initial=0))
-    width = max(1, -(-(most + 1) // CELLS))
-    cells = np.floor_divide(v, width).astype(np.float32)
-    exact = int(np.abs(q).max(initial=0)) * (CELLS + 1) * v.shape[1] < 1 << 24  # float32 holds all sums
-    kind = np.float32 if exact else np.float64
-    scan = q.astype(kind) @ cells.astype(kind).T
-    slack = (width - 1) * np.abs(q).sum(axis=1) / width + (0 if exact else np.abs(scan).max(initial=0) * 1e-9)
-    out = ([], [], [])
-    for i in range(len(q)):
-        s = scan[i]
-        other = v_ids != q_ids[i]
-        n = min(k, int(other.sum()))
-        if not n:
-            continue
-        s = np.where(other, s, -np.inf)
-        kth = np.partition(s, len(s) - n)[len(s) - n]  # the k-th highest lower bound, shifted like s
-        near = np.flatnonzero(s >= kth - slack[i] - 1e-6)
-        near = near[np.argsort(-s[near], kind="stable")]
-        ids, scores, at = np.empty(0, np.int64), np.empty(0, np.int64), 0
-        while at < len(near):  # in the order of their bounds, until the k-th score is above what remains
-            part = near[at : at + 4 * k]
-            scores = np.concatenate((scores, v[part] @ q[i]))
-            ids = np.concatenate((ids, v_ids[part]))
-            at += len(part)
-            order = np.lexsort((ids, -scores))[:n]
-            ids, scores = ids[order], scores[order]
-            if at < len(near) and len(ids) == n and scores[-1] > width * (float(s[near[at]]) + slack[i] + 1e-6):
-                break
-        out[0].append(np.full(len(ids), q_ids[i]))
-        out[1].append(ids)
-        out[2].append(scores)
-    return tuple(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in out)
+            for dim, part, entry, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if ids and (key != (dim, part) or len(ids) >= size):
+                    yield flush()
+                key = (dim, part)
+                ids.append(entry)
+                cells.append(raw)
+        if ids:
+            yield flush()
+
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, entry, width, v) as (dim, entry, cells, exact): bytes of int8 and of int64."""
+    for b in batches:
+        v = [np.asarray(x, np.int64) for x in b.column(3).to_pylist()]
+        w = b.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array([np.floor_divide(x, y).astype(np.int8).tobytes() for x, y in zip(v, w, strict=True)], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], ["dim", "entry", "cells", "exact"]
+        )
+
+
+def blocks(rows: DataFrame, content: str, size: int, n: int) -> DataFrame:
+    """(dim, block, entries, bytes): rows(dim, entry, content) scattered into blocks of some `size` rows of one length.
+
+    n is the number of rows, from which that of parts follows; blocks have numbers of their own.
+    """
+    parts = max(1, -(-n // size))
+    dealt = rows.select("dim", F.pmod(F.xxhash64("entry"), F.lit(parts)).alias("part"), "entry", F.col(content).alias("bytes"))
+    packed = dealt.repartition(parts, "dim", "part").sortWithinPartitions("dim", "part").mapInArrow(_pack(size), "dim int, part long, entries binary, bytes binary")
+    return table(packed.select("dim", F.monotonically_increasing_id().alias("block"), "entries", "bytes"))
+
+
+def bounds(q: np.ndarray, cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mid, slack): the score of query i and entry j is within slack[i] of mid[i, j].
+
+    With v = w c + r and 0 <= r <= w - 1, q.v is w q.c plus at least (w - 1) times q's negative parts and at most its positive
+    ones: half of (w - 1) times the sum of q is the middle, half of (w - 1) times that of its absolute values the slack, to
+    which comes what sums of 32-bit floats can be off.
+    """
+    scan = q.astype(np.float32) @ cells.astype(np.float32).T
+    size = np.abs(q).sum(axis=1).astype(np.float64)
+    off = (cells.shape[1] + 4) * 2.0**-23 * CELLS * size
+    return width * scan.astype(np.float64) + (width - 1) / 2 * q.sum(axis=1)[:, None], (width - 1) / 2 * size + width * off + 1
 
 
 def _scan(k: int):
+    """A block of queries against a block of cells: the entries whose upper bound reaches the k-th lower bound."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                ids = [np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids")]
-                q, v = (np.frombuffer(row[c], np.int64).reshape(-1, row["dim"]) for c in ("q_vectors", "vectors"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(q, ids[0], v, ids[1], k)], ["query_id", "vec_id", "score"])
+            for r in b.to_pylist():
+                asked, entries = np.frombuffer(r["asked"], np.int64), np.frombuffer(r["entries"], np.int64)
+                q = np.frombuffer(r["queries"], np.int64).reshape(-1, r["dim"])
+                mid, slack = bounds(q, np.frombuffer(r["bytes"], np.int8).reshape(-1, r["dim"]), r["width"])
+                n = min(k, len(entries))
+                kth = np.partition(mid, len(entries) - n, axis=1)[:, len(entries) - n]
+                i, j = np.nonzero(mid >= (kth - 2 * slack)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(entries[j]), pa.array(mid[i, j] - slack[i]), pa.array(mid[i, j] + slack[i])], ["query", "entry", "lo", "hi"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors, or all if there are fewer.
+def top_k(vectors: DataFrame, asks: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of vectors that asks, the k best of all other rows, or all if there are fewer.
 
-    Components become floor(scale * x); the score is the inner product of integers and ties go to the smaller id. Rows with
-    the query's own id are no candidates. Vectors of another length than the query's don't meet it. Vectors that are null,
-    empty, or hold null or non-finite components, and rows without an id, take no part. A repeated query row is one query, a
-    repeated vector row (same id and vector) one candidate. Scores must fit 63 bits. Other columns play no part.
+    asks is a condition on vectors. Components become floor(scale * x); the score is the inner product of integers and ties go to
+    the smaller id. A row is no candidate for itself; a repeated row is a query and a candidate of its own. Vectors of another
+    length than the query's don't meet it. Vectors that are null, empty, or hold null or non-finite components, and rows
+    without an id, take no part. Scores must fit 63 bits. Other columns play no part.
     """
-    v, q = quantise(vectors, vec_id, vector, scale).distinct(), quantise(queries, vec_id, vector, scale).distinct()
-    v, q = pack(v, block), pack(q, query_block)
-    q = q.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # Every block of vectors meets every block of queries of its length: the query set against all rows, in blocks.
-    # Pairs of numbers are made first, salted, as all blocks may have one length; each then fetches its two blocks.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    pairs = v.select("dim", "block", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int").alias("salt")).join(q.select("dim", "q_block", salts), ["dim", "salt"])
-    pairs = pairs.repartition(max(1, min(v.count() * q.count(), MOST_TASKS)), "q_block", "block").join(q, ["dim", "q_block"]).join(v, ["dim", "block"])
-    met = pairs.select("dim", "block", "q_block", "q_ids", "q_vectors", "ids", "vectors")
-    found = met.mapInArrow(_scan(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    base = table(quantise(vectors, asks, vec_id, vector, scale))
+    # One more than k of each entry's rows: one of them may be the query itself.
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id", "uid"))
+    rows = base.select("uid", "id", "dim", "v", first.alias("r")).filter(F.col("r") <= k + 1)
+    groups = rows.groupBy("v").agg(F.min("uid").alias("entry"), F.min("dim").alias("dim"), F.collect_list(F.struct("id", "uid")).alias("members"))
+    groups = table(groups)
+    most = groups.groupBy("dim").agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"))
+    widths = table(most.select("dim", F.ceil((F.col("most") + 1) / CELLS).cast("long").alias("width")))
+    asking = table(base.filter("ask").select("uid", "id", "v").join(groups.select("v", "entry"), "v").select("uid", "id", "entry"))
+    file = groups.join(widths, "dim").select("dim", "entry", "width", "v").mapInArrow(_cells, "dim int, entry long, cells binary, exact binary")
+    queries = file.join(asking.select("entry").distinct(), "entry", "left_semi")
+    cells = blocks(file, "cells", block, groups.count())
+    asked = blocks(queries, "exact", query_block, max(1, queries.count()))
+    # Every block of cells meets every block of queries of its length: the query set against all rows, in blocks. Pairs of
+    # numbers are made first, a row of the numbers of query blocks for each length; each then fetches its two blocks.
+    numbers = asked.groupBy("dim").agg(F.collect_list("block").alias("asked_block"))
+    pairs = cells.select("dim", "block").join(numbers, "dim").select("dim", "block", F.explode("asked_block").alias("asked_block"))
+    tasks = max(1, min(cells.count() * asked.count(), MOST_TASKS))
+    pairs = pairs.repartition(tasks, "asked_block", "block").join(asked.select(F.col("block").alias("asked_block"), F.col("entries").alias("asked"), F.col("bytes").alias("queries")), "asked_block")
+    met = pairs.join(cells.drop("dim"), "block").join(widths, "dim").select("dim", "width", "asked", "queries", "entries", "bytes")
+    # An entry more than k: the query's own may be among them with no other row.
+    found = met.mapInArrow(_scan(k + 1), "query long, entry long, lo double, hi double")
+    by = Window.partitionBy("query")
+    found = found.withColumn("r", F.row_number().over(by.orderBy(F.col("lo").desc(), "entry"))).withColumn("least", F.min(F.when(F.col("r") <= k + 1, F.col("lo"))).over(by)).filter("hi >= least")
+    near = table(found.select("query", "entry", "hi", F.row_number().over(by.orderBy(F.col("hi").desc(), "entry")).alias("place")))
+    exact = groups.select("entry", "v")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(exact, "entry").join(exact.select(F.col("entry").alias("query"), F.col("v").alias("q")), "query")
+        return both.select("query", "entry", F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
+
+    head = table(scored(near.filter(F.col("place") <= k + 1)))
+    rest = near.filter(F.col("place") > k + 1).join(head.groupBy("query").agg(F.min("score").alias("kth")), "query").filter("hi >= kth")
+    scores = head.union(scored(rest.select("query", "entry")))
+    best = scores.join(groups.select("entry", "members"), "entry").select("query", "score", F.explode("members").alias("m"))
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "m.id", "m.uid")
+    best = table(best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1).groupBy(F.col("query").alias("entry")).agg(F.sort_array(F.collect_list(F.struct("r", "score", "m"))).alias("best")))
+    mine = F.slice(F.filter("best", lambda x: x["m"]["uid"] != F.col("uid")), 1, k)
+    answers = asking.join(best, "entry").select(F.col("id").alias("query_id"), F.posexplode(mine).alias("rank", "x"))
+    return answers.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.m.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+    """top_k() with k = 10 for the rows whose vec_id is divisible by 100, against all rows."""
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 OP6_SQL = r"""
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, sum(q.x * e.x)::BIGINT AS score FROM e q JOIN e ON q.i = e.i AND q.dim = e.dim AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+e AS (SELECT u, vec_id, len(v) AS dim, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+s AS (SELECT q.u AS qu, q.vec_id AS query_id, e.u, e.vec_id, sum(q.x * e.x)::BIGINT AS score FROM e q JOIN e ON q.i = e.i AND q.dim = e.dim AND q.u <> e.u WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qu ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
