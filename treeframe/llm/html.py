@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded from the top of the tree down.
 
-Each block element of a page is a node with features of its subtree (how dense its text is, how much of it is links),
-of its tag, class, id and role, its depth and its siblings. Boosted trees give the odds that a node belongs to the main
+Each block element of a page, and each inline one with a class, id or role, is a node with features of its subtree (how dense
+its text is, how much of it is links), of its tag and attribute tokens, its depth and its siblings. What a token says is learnt: its
+weight is the log-odds of being dropped that nodes with it have in the training pages. Boosted trees give the odds that a node belongs to the main
 text. The decoding finds the most likely labels in which nothing inside a dropped node is kept, so no choice contradicts
 an ancestor's.
 
@@ -29,7 +30,8 @@ from .common import read
 #: How many made-up pages the trees are trained on, from which seed.
 TRAIN_PAGES, SEED = 600, 11
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+_START = re.compile(r"([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -48,24 +50,20 @@ _IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-_BAD = set(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar side aside rail widget widgets
-    footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments reply replies respond discussion disqus share sharing social follow related recommended
-    recommendations more popular trending newsletter subscribe subscription signup login search form pagination pager tags tagcloud copyright legal disclaimer skip print hidden toc feedback rating ratings""".split()
-)
-_GOOD = set("article articlebody content contents main maincontent post posts entry body text story page prose copy blog news".split())
 TAGS = ["p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h1", "h2", "h3", "table", "td", "blockquote", "pre", "figure", "body"]
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "tokens", "kids", "text", "links", "chars", "link_chars", "parts", "n_bad", "n_good", "hidden", "index")
+    __slots__ = ("tag", "parent", "depth", "tokens", "kids", "links", "chars", "link_chars", "hidden", "index")
 
     def __init__(self, tag: str, parent: Node | None, tokens: frozenset[str], hidden: bool) -> None:
         self.tag, self.parent, self.depth, self.tokens, self.hidden = tag, parent, parent.depth + 1 if parent else 0, tokens, hidden
         self.kids: list[Node] = []
-        self.parts: list[str] = []
         self.chars = self.link_chars = self.links = 0
-        self.n_bad, self.n_good = len(tokens & _BAD), len(tokens & _GOOD)
+
+
+#: A block of text: the number of the block element that it stands in, and its parts, each with the number of its own node.
+Block = tuple[int, list[tuple[int, str]]]
 
 
 def _attributes(raw: str) -> tuple[frozenset[str], bool]:
@@ -80,96 +78,114 @@ def _attributes(raw: str) -> tuple[frozenset[str], bool]:
     return frozenset(tokens), hidden
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements of a page in its order, and its blocks of text: (number of the element, text).
+def parse(html: str) -> tuple[list[Node], list[Block]]:
+    """The nodes of a page in its order, and its blocks of text.
 
-    Tags may be open, crossed or missing. Inline elements belong to the block around them, except those whose class
-    or role marks them as something of their own. Character references are decoded after the markup is split.
+    Tags may be open, crossed or missing. Inline elements belong to the block around them; those that are nodes are parts of it.
+    Character references are decoded after the markup is split. The time is linear in the page's length however broken it
+    is: open elements are found by name, and once a tag's quotes don't close, tags end at the next > from there on.
     """
     root = Node("html", None, frozenset(), False)
-    nodes, blocks, stack, buffer = [root], [], [(root, "html")], []
-    root.index, at, n, never, links = 0, 0, len(html), 0, 0
+    nodes, blocks, buffer = [root], [], []
+    stack: list[tuple[Node, str]] = [(root, "html")]
+    open_at: dict[str, list[int]] = {}
+    block_at: list[int] = []
+    root.index, at, n, never, links, quotes = 0, 0, len(html), 0, 0, True
 
     def flush() -> None:
         if buffer:
-            t = " ".join(entities.unescape("".join(buffer)).split())
-            if t:
-                blocks.append((stack[-1][0].index, t))
-                stack[-1][0].chars += len(t)
+            parts = [(i, entities.unescape(t)) for i, t in buffer]
             buffer.clear()
+            for i, t in parts:
+                nodes[i].chars += len(t.strip())
+            if any(not t.isspace() for _, t in parts):
+                blocks.append((stack[block_at[-1]][0].index if block_at else 0, parts))
 
     def pop(i: int) -> None:
         nonlocal never, links
-        if any(tag in _BLOCK or node is not stack[k - 1 + i][0] for k, (node, tag) in enumerate(stack[i:])):
+        if block_at and block_at[-1] >= i:
             flush()
         for _, tag in stack[i:]:
+            open_at[tag].pop()
             never -= tag in _NEVER
             links -= tag == "a"
+        while block_at and block_at[-1] >= i:
+            block_at.pop()
         del stack[i:]
 
+    def last(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     while at < n:
-        m = _TAG.search(html, at)
-        end = m.start() if m else n
+        lt = html.find("<", at)
+        end = lt if lt >= 0 else n
         if end > at and not never:
-            buffer.append(html[at:end])
+            buffer.append((stack[-1][0].index, html[at:end]))
             if links:
                 stack[-1][0].link_chars += end - at
-        if not m:
+        if lt < 0:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        begin = lt + 1
+        c = html[begin : begin + 1]
+        if c in ("!", "?"):
+            stop = "-->" if html.startswith("!--", begin) else ">"
+            end = html.find(stop, begin + (3 if stop == "-->" else 0))
+            at = end + len(stop) if end >= 0 else n
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == tag:
-                    pop(i)
-                    break
-                if tag not in _BLOCK and stack[i][1] in _BLOCK:
-                    break  # an inline end tag does not close blocks
+        closes = c == "/"
+        begin += closes
+        c = html[begin : begin + 1]
+        if not (c.isascii() and c.isalpha()):
+            if closes:
+                end = html.find(">", begin)
+                at = end + 1 if end >= 0 else n
             else:
-                if tag in _BLOCK:
-                    flush()
+                if not never:
+                    buffer.append((stack[-1][0].index, "<"))
+                at = begin
+            continue
+        m = _START.match(html, begin) if quotes else None
+        if m:
+            tag, raw, at = m[1].lower(), m[2], m.end()
+        else:
+            quotes = False
+            end = html.find(">", begin)
+            if end < 0:
+                break
+            name = _NAME.match(html, begin, end)
+            tag, raw, at = name[0].lower(), html[name.end() : end], end + 1
+        if closes:
+            i = open_at[tag][-1] if open_at.get(tag) else 0
+            if i and (tag in _BLOCK or not block_at or i > block_at[-1]):  # an inline end tag does not close blocks
+                pop(i)
+            elif tag in _BLOCK:
+                flush()
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "p":
-                    pop(i)
-                    break
-                if stack[i][1] in _BLOCK:
-                    break
+        if tag in _CLOSES_P and block_at and stack[block_at[-1]][1] == "p":
+            pop(block_at[-1])
         if tag in _IMPLIED:
             kinds, stop = _IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] in kinds:
-                    pop(i)
-                    break
-                if stack[i][1] in stop:
-                    break
-        if tag in ("body", "html"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "head":
-                    pop(i)
-                    break
+            if (i := last(kinds)) > last(stop):
+                pop(i)
+        if tag in ("body", "html") and (i := last(("head",))):
+            pop(i)
         if tag in _VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                buffer.append(" ")
+                buffer.append((stack[-1][0].index, " "))
             continue
-        raw = m[3] or ""
         if tag in _RAW and not raw.endswith("/"):
             close = _RAW[tag].search(html, at)
             at = close.end() if close else n
-            buffer.append(" ")
+            buffer.append((stack[-1][0].index, " "))
             continue
         tokens, hidden = _attributes(raw)
-        own = tag in _BLOCK or hidden or bool(tokens & _BAD)
-        if own:
-            if tag in _BLOCK:
-                flush()
-            elif buffer:
-                flush()
+        if tag in _BLOCK:
+            flush()
+            block_at.append(len(stack))
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK or tokens or hidden:
             node = Node(tag, stack[-1][0], tokens, hidden)
             node.index = len(nodes)
             node.parent.kids.append(node)
@@ -177,22 +193,38 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append((node, tag))
         else:
             stack.append((stack[-1][0], tag))
-            if tag == "a":
-                stack[-1][0].links += 1
+        if tag == "a":
+            stack[-1][0].links += 1
         never += tag in _NEVER
         links += tag == "a"
     flush()
     return nodes, blocks
 
 
-def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
-    """One row of numbers for each node."""
-    n = len(nodes)
+def token_weights(pages: list[tuple[list[Node], np.ndarray]]) -> dict[str, float]:
+    """What each attribute token and tag, and each token's first four letters, says for being dropped: log-odds, over nodes whose parent stays."""
+    count: dict[str, list[int]] = {}
+    for nodes, y in pages:
+        for x in nodes[1:]:
+            if y[x.parent.index] > 0.5:
+                for t in _marks(x):
+                    count.setdefault(t, [1, 1])[int(y[x.index] > 0.5)] += 1
+    return {t: float(np.log(a / b)) for t, (a, b) in count.items()}
+
+
+def _marks(x: Node) -> set[str]:
+    return {f"<{x.tag}>", *x.tokens, *(f"{t[:4]}-" for t in x.tokens if len(t) > 3)}
+
+
+def features(nodes: list[Node], blocks: list[Block], weights: dict[str, float] | None = None) -> np.ndarray:
+    """One row of numbers for each node. weights: what tokens say, as token_weights() gives it."""
+    n, known = len(nodes), weights or {}
     chars, links, link_chars, paragraphs, stops, size, long = (np.zeros(n) for _ in range(7))
-    for i, t in blocks:
+    for i, parts in blocks:
         paragraphs[i] += nodes[i].tag == "p"
-        stops[i] += t.count(". ") + t.count(", ") + t.endswith(".")
-        long[i] += len(t) > 80
+        for k, t in parts:
+            stops[k] += t.count(". ") + t.count(", ") + t.rstrip().endswith(".")
+        long[i] += sum(len(t) for _, t in parts) > 80
     for x in nodes:
         chars[x.index], links[x.index], link_chars[x.index] = x.chars, x.links, min(x.link_chars, x.chars)
     size += 1
@@ -200,25 +232,27 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
         for a in (chars, links, link_chars, paragraphs, stops, size, long):
             a[x.parent.index] += a[x.index]
     total = max(1.0, chars[0])
-    bad_above, good_above = np.zeros(n), np.zeros(n)
+    says, above = np.zeros((n, 3)), np.zeros((n, 2))
     tags = [Counter(k.tag for k in x.kids) for x in nodes]
-    rows = np.zeros((n, 24 + len(TAGS)), np.float32)
+    rows = np.zeros((n, 25 + len(TAGS)), np.float32)
     seen = 0.0
     for x in nodes:
         i, p = x.index, x.parent
+        # A token that is not known speaks by its first letters.
+        own = [known[t] if t in known else known.get(f"{t[:4]}-", 0.0) for t in x.tokens]
+        says[i] = max([0.0, *own]), min([0.0, *own]), known.get(f"<{x.tag}>", 0.0)
         if p:
-            bad_above[i] = bad_above[p.index] + p.n_bad + (p.tag in ("nav", "footer", "header", "aside", "form"))
-            good_above[i] = good_above[p.index] + p.n_good + (p.tag in ("article", "main"))
+            above[i] = max(above[p.index, 0], says[p.index, 0], says[p.index, 2]), min(above[p.index, 1], says[p.index, 1], says[p.index, 2])
         sibs = len(p.kids) if p else 1
         of_parent = chars[i] / max(1.0, chars[p.index]) if p else 1.0
         same = tags[p.index][x.tag] / sibs if p else 1.0
-        rows[i, :24] = (
+        rows[i, :25] = (
             np.log1p(chars[i]), chars[i] / total, chars[i] / size[i], link_chars[i] / max(1.0, chars[i]), links[i] / size[i], np.log1p(links[i]),
             paragraphs[i], stops[i] / max(1.0, chars[i]) * 100, np.log1p(size[i]), long[i], x.depth, sibs, of_parent, same, i / n, seen / total,
-            x.n_bad, x.n_good, bad_above[i], good_above[i], len(x.tokens), x.hidden, np.log1p(x.chars), bool(x.parent and x.parent.tag in ("ul", "ol", "menu")),
+            *says[i], *above[i], len(x.tokens), x.hidden, np.log1p(x.chars), bool(x.parent and x.parent.tag in ("ul", "ol", "menu")),
         )
         if x.tag in TAGS:
-            rows[i, 24 + TAGS.index(x.tag)] = 1
+            rows[i, 25 + TAGS.index(x.tag)] = 1
         seen += x.chars
     return rows
 
@@ -295,6 +329,11 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 _SYL = "an en er in on th ti re nd ha ou ea st es ed or it at is ar le se de la ra un so me vo ka mi lo ne".split()
 
 
+#: Classes of inline elements that the made-up pages keep and drop.
+INLINE_KEPT = ("term", "name", "date", "highlight", "hl", "author", "quote", "num", "keyword", "place", "note-ref", "link", "external", "w", "lead", "dropcap", "amount", "caption", "title", "info")
+INLINE_GONE = ("ad", "sponsored", "promo", "share", "tooltip", "edit-link", "print", "permalink", "reply", "advert", "more-link", "badge", "icon")
+
+
 def _words(r: random.Random, n: int, stop: bool = True) -> str:
     w = ["".join(r.choices(_SYL, k=r.randint(1, 4))) + ("," if stop and r.random() < 0.08 else "") for _ in range(n)]
     out, at = [], 0
@@ -328,6 +367,11 @@ def sample_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
             w = body.split(" ")
             i = r.randrange(len(w))
             w[i] = r.choice(['<a href="#">{}</a>', "<b>{}</b>", "<em>{}</em>", "<span>{}</span>"]).format(w[i])
+            if r.random() < 0.4:
+                i = r.randrange(len(w))
+                w[i] = f'<{(tag := r.choice(["span", "em", "a", "b", "abbr"]))} class="{r.choice(INLINE_KEPT)}" data-y={y}>{w[i]}</{tag}>'
+            if r.random() < 0.25:
+                w.insert(r.randrange(len(w)), f'<{(tag := r.choice(["span", "a", "b"]))} class="{r.choice(INLINE_GONE)}" data-y=0>{_words(r, r.randint(1, 6), False)}</{tag}>')
             body = " ".join(w)
         return f"<p data-y={y}>{body}" + ("</p>" if r.random() < 0.85 else "")
 
@@ -335,15 +379,15 @@ def sample_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
         kind = r.choice(["nav", "nav", "ad", "side", "comments", "cookie", "share", "related", "form", "crumbs"])
         p = lambda a, b: para(r.randint(a, b), 0) if r.random() < 0.6 else _words(r, r.randint(a, b))
         return {
-            "nav": lambda: box("nav", ["nav", "menu", "main-menu", "navbar", "navigation", "site-nav"], ["nav", "nav", "div", "ul"], links(r.randint(2, 14)), 0),
-            "ad": lambda: box("ad", ["ad", "ads", "advert", "ad-box", "sponsored", "promo", "banner"], ["div", "div", "aside", "section"], p(3, 40), 0),
-            "side": lambda: box("sidebar", ["sidebar", "side", "widget", "right-rail"], ["aside", "aside", "div"], "".join(r.choice([lambda: f"<h3 data-y=0>{_words(r, 3, False)}</h3>", lambda: links(5), lambda: p(8, 60)])() for _ in range(r.randint(1, 5))), 0),
-            "comments": lambda: box("comments", ["comments", "comment-list", "discussion", "replies", "reader-comments"], ["section", "div", "ol"], "".join(box("comment", ["comment", "reply"], ["div", "li", "article"], p(4, 90), 0) for _ in range(r.randint(1, 8))), 0),
-            "cookie": lambda: box("cookie", ["cookie-notice", "cookie", "notice", "consent", "gdpr-banner", "alert"], ["div", "section", "aside"], p(6, 40), 0),
-            "share": lambda: box("share", ["share", "social", "share-buttons", "follow-us"], ["div", "ul", "p"], links(4), 0),
-            "related": lambda: box("related", ["related", "related-posts", "recommended", "more-stories", "trending"], ["div", "section", "aside"], f"<h3 data-y=0>{_words(r, 2, False)}</h3>" + links(r.randint(2, 6)) + (p(5, 30) if r.random() < 0.4 else ""), 0),
-            "form": lambda: box("form", ["newsletter", "subscribe", "search", "login", "signup"], ["form", "form", "div"], f"<label>{_words(r, 3)}</label><input name=q>" + p(3, 25), 0),
-            "crumbs": lambda: box("crumbs", ["breadcrumb", "breadcrumbs", "pagination"], ["div", "nav", "ol"], links(3), 0),
+            "nav": lambda: box("nav", ["nav", "menu", "main-menu", "navbar", "navigation", "site-nav", "topbar", "toolbar", "menus", "toc", "skip-links", "tabs", "dropdown", "pager"], ["nav", "nav", "div", "ul"], links(r.randint(2, 14)), 0),
+            "ad": lambda: box("ad", ["ad", "ads", "adv", "advert", "adverts", "ad-box", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "promoted", "banner", "dfp-slot"], ["div", "div", "aside", "section"], p(3, 40), 0),
+            "side": lambda: box("sidebar", ["sidebar", "side", "aside", "widget", "widgets", "right-rail", "popular", "tags", "tagcloud", "blogroll"], ["aside", "aside", "div"], "".join(r.choice([lambda: f"<h3 data-y=0>{_words(r, 3, False)}</h3>", lambda: links(5), lambda: p(8, 60)])() for _ in range(r.randint(1, 5))), 0),
+            "comments": lambda: box("comments", ["comments", "comment-list", "discussion", "replies", "reader-comments", "responses", "respond", "disqus", "feedback", "ratings"], ["section", "div", "ol"], "".join(box("comment", ["comment", "reply"], ["div", "li", "article"], p(4, 90), 0) for _ in range(r.randint(1, 8))), 0),
+            "cookie": lambda: box("cookie", ["cookie-notice", "cookie", "cookies", "notice", "notices", "consent", "gdpr-banner", "alert", "popup", "modal", "overlay", "disclaimer", "legal", "copyright"], ["div", "section", "aside"], p(6, 40), 0),
+            "share": lambda: box("share", ["share", "sharing", "social", "share-buttons", "follow-us", "print", "email-this"], ["div", "ul", "p"], links(4), 0),
+            "related": lambda: box("related", ["related", "related-posts", "recommended", "recommendations", "more-stories", "more", "trending", "latest", "read-next"], ["div", "section", "aside"], f"<h3 data-y=0>{_words(r, 2, False)}</h3>" + links(r.randint(2, 6)) + (p(5, 30) if r.random() < 0.4 else ""), 0),
+            "form": lambda: box("form", ["newsletter", "subscribe", "subscription", "search", "login", "signup", "register", "contact-form"], ["form", "form", "div"], f"<label>{_words(r, 3)}</label><input name=q>" + p(3, 25), 0),
+            "crumbs": lambda: box("crumbs", ["breadcrumb", "breadcrumbs", "crumbs", "pagination", "pages"], ["div", "nav", "ol"], links(3), 0),
         }[kind]()
 
     def story() -> str:
@@ -374,7 +418,7 @@ def sample_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
         main = story()
         bare = r.random() < 0.12
         if not bare:
-            main = box("article", ["article", "post", "content", "main-content", "entry-content", "story", "post-body"], ["article", "article", "main", "div", "div", "section"], main, 1)
+            main = box("article", ["article", "article-body", "post", "content", "contents", "main-content", "maincontent", "entry-content", "entry", "story", "post-body", "body-text", "text", "prose", "copy", "page-content"], ["article", "article", "main", "div", "div", "section"], main, 1)
         for _ in range(r.choice([0, 0, 1, 2])):
             main = f"<{(tag := r.choice(['div', 'main', 'section', 'div']))}{r.choice(['', ' id=page', ' class=wrapper', ' class=container', ' class=content'])} data-y=1>{noise() if r.random() < 0.3 else ''}{main}{noise() if r.random() < 0.4 else ''}</{tag}>"
         top = "".join(noise() for _ in range(r.choice([0, 1, 1, 2, 3])))
@@ -389,37 +433,35 @@ def sample_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> Iterator[str]:
 _LABEL = re.compile(r"data-y=([01])")
 
 
-def labelled(page: str) -> tuple[np.ndarray, np.ndarray, list[Node]]:
-    """Features and labels of a made-up page's nodes. The labels are read in the order of the start tags and then taken out."""
+def labelled(page: str) -> tuple[list[Node], list[Block], np.ndarray]:
+    """A made-up page's nodes, blocks and labels. The labels are read in the order of the start tags and then taken out."""
     order = [int(m[1]) for m in _LABEL.finditer(page)]
     nodes, blocks = parse(_LABEL.sub("", page))
-    y = np.array([1, *order][: len(nodes)], float)
-    if nodes[1:] and nodes[1].tag == "html":
-        y = np.array([1, 1, *order][: len(nodes)], float)
-    return features(nodes, blocks), y, nodes
+    return nodes, blocks, np.array([1, 1, *order] if nodes[1:] and nodes[1].tag == "html" else [1, *order], float)
 
 
 @functools.cache
 def trained(pages: int = TRAIN_PAGES, seed: int = SEED) -> dict:
-    x, y = [], []
-    for page in sample_pages(pages, seed):
-        a, b, nodes = labelled(page)
-        if len(a) == len(b):
-            x.append(a)
-            y.append(b)
-    return boost(np.concatenate(x), np.concatenate(y))
+    """Trees and token weights from so many made-up pages. Half of the pages give the weights that the trees see on the other half, and the
+    other way round: else the trees would trust tokens that stand once."""
+    read = [(nodes, blocks, y) for nodes, blocks, y in map(labelled, sample_pages(pages, seed)) if len(nodes) == len(y)]
+    halves = [read[::2], read[1::2]]
+    x = [features(nodes, blocks, w) for own, other in (halves, halves[::-1]) for w in [token_weights([(a, y) for a, _, y in other])] for nodes, blocks, _ in own]
+    model = boost(np.concatenate(x), np.concatenate([y for half in halves for _, _, y in half]))
+    return model | {"weights": token_weights([(a, y) for a, _, y in read])}
 
 
 def extract(pages: list[str | None], model: dict) -> list[str]:
     """The main text of each page."""
     parsed = [parse(p or "") for p in pages]
-    rows = [features(*p) for p in parsed]
+    rows = [features(*p, model["weights"]) for p in parsed]
     odds = log_odds(model, np.concatenate(rows)) if rows else np.empty(0)
     out, at = [], 0
     for (nodes, blocks), x in zip(parsed, rows, strict=True):
         kept = decode(nodes, odds[at : at + len(x)])
         at += len(x)
-        out.append("\n".join(t for i, t in blocks if kept[i]))
+        texts = (" ".join("".join(t for i, t in parts if kept[i]).split()) for _, parts in blocks)
+        out.append("\n".join(filter(None, texts)))
     return out
 
 
@@ -443,4 +485,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """main_text() of all pages."""
     return main_text(read(spark, sf_dir, "pages"))

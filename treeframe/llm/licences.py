@@ -1,8 +1,9 @@
 """Licence scan by canonical digests.
 
 A text is brought to a canonical form (lower case, words only, copyright lines gone, equivalent spellings made one)
-and the digest of the whole form is looked up in a table of the digests of known licences. Units are whole documents and
-single lines: licence files match as documents, notices match as lines.
+and the digest of the whole form is hash-joined to the digests of known licences. Units are whole documents and
+single lines: licence files match as documents, notices match as lines. Texts are read and normalised once; no row of
+theirs is shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read
+from .common import WORD, let, read
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -81,47 +82,94 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines, everything but letters and digits one space, equal spellings made one."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")
-    t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "))
+ANY_SPELLING = "|".join(pattern for pattern, _ in SPELLINGS)
+#: The most known licences that scan() takes: they are broadcast, with some 100 bytes each.
+MOST_KNOWN = 100_000
+
+# Licence, SHA-256 of the canonical form of its whole text as its steward publishes it, or of that up to the end of its terms.
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "71264946caf93a60bb62674083c012cf4eab5157b06da8e8346ab6b7178b287f"),
+    ("Apache-2.0", "e1844670195f45de50c08db83410192bf47a169fdd11a4c8f00fd51b246832e1"),
+    ("Apache-2.0", "acf9a940a36ac817e2471245c4b5d58245223025092047147b8daac3f45cdfa6"),
+    ("GPL-1.0", "00d0bcf4da868d5792d52300a0519c6d97d3e6d7c5456c2de304b77928c2cc89"),
+    ("GPL-1.0", "c7ae631ccb47e5ecd29638c1a48131fa9f56d64abc64b45878f0fffdd6fef45e"),
+    ("GPL-1.0", "287413b32d5a897a2c0d474534d228c97c0ef9f94bb659c0430a9de2fd39c458"),
+    ("GPL-2.0", "90f866845992c01751059b0f542759f9d4ef4ec01c48f8602d619781c23f71b2"),
+    ("GPL-2.0", "d447718335b74b0f106659ea4ba27e1aa26abfe1d50c641e3020cc8ad97ca35d"),
+    ("GPL-2.0", "671e97b958adf34c49f0ddebde8976f10f4108c8b21289564ec0800c82519cc8"),
+    ("GPL-3.0", "0e7cdc432e6088c9ee813dabf3e456787d276f3fb033d05ea1aa384210242b7a"),
+    ("GPL-3.0", "2cff9b4acea8a772999d22c176a2f8810c33fce5bbc2830572503c83f819b748"),
+    ("GPL-3.0", "87beded8e098b4a9d06f0546697fc450f2d8e7d74a53858273a60919c99a651f"),
+    ("LGPL-2.0", "02bb592bdf3815a31b8d754f7e132c68a896876622f155d15d0d8790b103745e"),
+    ("LGPL-2.0", "c6cac8bb45bb0e67079e69bf18cf3a26b830d7bad3fc0af0dd9833f67cc9683e"),
+    ("LGPL-2.0", "537cf6d02a6d38ca9ad4666054770851584eb6eb935c1d3908879c7efc53a7de"),
+    ("LGPL-2.1", "35914b6bc1b3fda346f343a0026d9edbe5fd3422c503d6a28f216749eb36861d"),
+    ("LGPL-2.1", "20ff4fe5bcafb5a833658fcdfebcbb407a9e35f98ff8fc70d59eddd43b026fb5"),
+    ("LGPL-2.1", "a3d9db8b55e3bca21eace455c68682a182b80fab23ddb3e280766fc7e2048064"),
+    ("LGPL-3.0", "1a17309708ea02112922c07614fea775b42d64a85754a7183269667ccf32499e"),
+    ("MPL-1.1", "8f0a39d062959653abddc7ba3a9943f2733ea30cdf96a5d8b77abfa0370f6ff1"),
+    ("MPL-2.0", "11355ad6ccad8d3c57561c2eb8717baf11a86109ad7cd6624893047ec0fd21c1"),
+    ("CC0-1.0", "1857a6817be463d903691bfa09d4f345ab7f4ed86a5db2a5966c03b160057e4a"),
+    ("Artistic-1.0-Perl", "a4fed5ce5b868ffcbd8eef16f208fd74576cd05ded0ae525386caacc0dcc3abd"),
+    ("GFDL-1.2", "cc8061520d671799dfc6841d1b94e6f4cd1ba77c9dc26e1f23cce35bd98a0a6d"),
+    ("GFDL-1.3", "9aa52e4045eeb45ac24bb5e2d862d1998a73441dfca824a5728b2938633a570e"),
+)
+
+
+def _plain(text: Column) -> Column:
+    """Lower case without copyright lines, all between letters and digits one space; line ends stay."""
+    return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _spelled(plain: Column) -> Column:
+    """The canonical form from the plain one."""
+    t = plain
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.when(plain.rlike(ANY_SPELLING), F.trim(F.regexp_replace(t, " +", " "))).otherwise(plain)
+
+
+def canonical(text: Column) -> Column:
+    """Lower case, without copyright lines, everything but letters and digits one space, equal spellings made one."""
+    return let(F.trim(F.regexp_replace(_plain(text), "[ \n]+", " ")), _spelled)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): a few hundred rows, fixed by KNOWN."""
-    known = spark.createDataFrame(list(KNOWN), "license string, text string")
-    return known.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of the texts in KNOWN and of DIGESTS, or of other (licence, text) pairs."""
+    texts = spark.createDataFrame(list(KNOWN if known is None else known), "license string, text string")
+    rows = texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    if known is None and DIGESTS:
+        rows = rows.union(spark.createDataFrame([(d, k) for k, d in DIGESTS], "digest string, license string"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, n_lines, digest, license, line_licenses) for each row of docs.
 
     digest is that of the whole text's canonical form, license the known licence that has it, else null; line_licenses are
-    the licences that single lines name, each once, in order, joined by commas ("" if none). n_lines counts lines with a word.
+    the licences that single lines have or name, each once, in order, joined by commas ("" if none). n_lines counts lines with a
+    word. known: (licence, text) pairs to look for instead of the built-in ones, MOST_KNOWN at most.
 
     Null and empty texts are the empty form and match nothing. Repeated rows each give a row. Other columns play no part.
-    Lines and texts are hash-joined to the known digests, whose number is fixed: a broadcast of some 30 KB.
     """
-    known = F.broadcast(known_digests(docs.sparkSession))
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.md5(t).alias("key"), F.size(lines).cast("long").alias("n_lines"), F.sha2(canonical(t), 256).alias("digest"))
-    # Few lines hold words of a licence at all; only these are brought to their form and looked up.
-    hinted = docs.select(F.md5(t).alias("key"), F.explode(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(HINT))).alias("line"))
-    named = hinted.select("key", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest")
-    named = named.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    out = rows.join(known, "digest", "left").join(named, "key", "left")
-    return out.select("doc_id", "n_lines", "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    if known is not None and len(known) > MOST_KNOWN:
+        raise ValueError(f"{len(known)} known licences; at most {MOST_KNOWN} are looked up by broadcast")
+    table = {r.digest: r.license for r in known_digests(docs.sparkSession, known).filter(F.col("digest") != F.sha2(F.lit(""), 256)).collect()}  # a row for each known text
+    known_df = docs.sparkSession.createDataFrame(list(table.items()), "digest string, license string")
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv]) if table else None
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"), _plain(F.col(text)).alias("plain"))
 
+    def found(plain: Column) -> Column:
+        lines = F.filter(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+        hits = F.filter(F.transform(lines, lambda x: F.sha2(_spelled(x), 256)), lambda d: d.isin(list(table)))
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda d: F.element_at(names, d)))), ",")
 
-#: Every known text has one of these words; a line without any can have no known digest.
-HINT = r"(?i)licen[cs]e|warrant|permi(?:ssion|tted)|redistribut|(?<![\p{L}\p{N}])(?:mit|isc|bsd|cc0|cc|apache|a?l?gpl|mpl|gnu|mozilla|creative|software|origin|altered|notice)(?![\p{L}\p{N}])"
+    rows = rows.select("doc_id", "n_lines", F.sha2(_spelled(F.trim(F.regexp_replace("plain", "[ \n]+", " "))), 256).alias("digest"), (found(F.col("plain")) if table else F.lit("")).alias("line_licenses"))
+    return rows.join(F.broadcast(known_df), "digest", "left").select("doc_id", "n_lines", "digest", "license", "line_licenses")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents for the built-in licences."""
     return scan(read(spark, sf_dir, "documents"))
 
 
@@ -135,7 +183,9 @@ def _sql(text: str) -> str:
 
 
 OP4_SQL = rf"""
-WITH known AS (SELECT sha256({_sql("t")}) AS digest, min(l) AS license FROM (VALUES {", ".join("('" + k + "', '" + x.replace("'", "''") + "')" for k, x in KNOWN)}) AS v(l, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(l) AS license FROM (
+  SELECT sha256({_sql("t")}) AS digest, l FROM (VALUES {", ".join("('" + k + "', '" + x.replace("'", "''") + "')" for k, x in KNOWN)}) AS v(l, t)
+  UNION ALL SELECT d, l FROM (VALUES {", ".join(f"('{k}', '{d}')" for k, d in DIGESTS)}) AS w(l, d)) GROUP BY digest),
 d AS (SELECT row_number() OVER () AS u, doc_id, text FROM documents),
 l AS (SELECT u, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM d),
 n AS (SELECT u, count(*) AS n_lines FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY u),
