@@ -6,9 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from treeframe import Attr, Child, MapOf, Part, Poly, Record, Text, extract, find, nodes, read_files, read_large, stream_files
+from treeframe import Attr, Child, MapOf, Part, Poly, Record, Self, SpecError, Text, extract, find, nodes, read_files, read_large, register, stream_files
 from treeframe.functions.arrays import by_key
 from treeframe.functions.coerce import coerce
+from treeframe.operators.udtf import scalar_reader
 from treeframe.plans.spec import scalar
 
 
@@ -68,7 +69,7 @@ def test_local_patterns_do_not_depend_on_the_time_zone(spark):
 
 
 BOOK = Record({
-    "id": Attr("int"), "title": Child(), "price": Child("struct<currency:string,amount:double>", converter=lambda x: F.when(x.rlike("^[A-Z]{3} [0-9.]+$"), F.struct(F.substring(x, 1, 3), F.substring(x, 5, 99).cast("double")))),
+    "id": Attr("int"), "title": Child(), "price": Child("struct<currency:string,amount:double>", converter=lambda x: F.when(x.rlike("^[A-Z]{3} [0-9.]+$"), F.struct(F.substring(x, 1, 3).alias("currency"), F.substring(x, 5, 99).cast("double").alias("amount")))),
     "ratings": Child("int", "r", many=True), "day": Child("date", required=False), "m": MapOf("e", Part("@k", "int"), Part("v", "int")), "f": Child(Poly({"p": Record({"n": Attr("int")}), "q": Record({"x": Child("double")})}), required=False), "t": Text(),
 }, "//book")
 
@@ -169,8 +170,92 @@ def test_large_file_breaks_off_with_its_error(spark, tmp_path):
 
 def test_nodes_and_records_agree(spark):
     xml = "<r><g><i k='p'>1</i><i k='q'>2</i><i k='p'>3</i></g><g><h><i k='p'>4</i></h><i k='p'>5</i><i>6</i></g></r>"
+    assert nodes(docs(spark, xml), text=False).filter("text IS NOT NULL").count() == 0
     table = nodes(docs(spark, xml, "<r/>", None), keep=["id"])
     assert table.filter("id = 0").count() == 10 and table.filter("last < pre OR level < 0").count() == 0
     for path in ("//i", "g/i", "/r/g/i[2]", "//i[@k='p'][2]", "//i[2][@k='p']", "//g//i[1]", "/r//i[@k!='p']", "//i[1 and @k='p' or @k='q']", "/r/*/i"):
         want = sorted(r.t for r in extract(docs(spark, xml), Record({"t": Text()}, path)).collect())
         assert sorted(r.own_text for r in find(table, path, "id").collect()) == want, path
+
+
+def test_records_deeper_than_there_is_room_for(spark):
+    part = Record({"id": Attr("int"), "parts": Child(Self(2), "part", many=True), "twin": Child(Self(2), "twin", required=False)}, "/part")
+    assert part.schema["parts"].dataType.elementType.names == ["id", "parts", "twin"] and part.schema["parts"].dataType.elementType["parts"].dataType.elementType.names == ["id"]
+    deep = "<part id='1'>\n<part id='2'>\n<part id='3'/>{}</part></part>"
+    four = deep.format("").replace("<part id='3'/>", "<part id='3'>\n<part id='4'/><part id='5'/></part>")
+    (a,), (b,), (c,) = (rows(extract(docs(spark, x), part, mode="PERMISSIVE")) for x in (deep.format(""), four, deep.format("<twin id='9'><twin id='10'/></twin>")))
+    assert a["_errors"] == [] and a["parts"][0]["parts"] == [{"id": 3}]
+    (e,) = b["_errors"]
+    assert (e["kind"], e["field"], e["line"], e["path"]) == ("Depth", "parts", 4, "/part/part/part/part") and "Self(2)" in e["message"]
+    assert [e["field"] for e in c["_errors"]] == ["twin"]
+    with pytest.raises(Exception, match="goes on below the 2 levels"):
+        extract(docs(spark, four), part).collect()
+    assert extract(docs(spark, four, deep.format("")), part, mode="DROPMALFORMED").count() == 1
+
+
+def test_converters_are_of_their_fields_type(spark):
+    def problems(kind, converter):
+        with pytest.raises(SpecError) as e:
+            extract(docs(spark, "<r><a>x</a></r>"), Record({"c": Child(Record({"a": Child(kind, converter=converter)}), "r2", required=False), "b": Child(kind, "a", converter=converter)}, "r"))
+        return e.value.problems
+
+    said = problems("int", lambda x: F.upper(x))
+    assert len(said) == 2 and all("gives string, but the field says int" in p for p in said)
+    assert "can't be used on a text" in problems("int", lambda x: F.explode(F.array_contains(x, 1)))[0]
+    good = Record({"a": Child("int", converter=lambda x: F.length(x)), "u": Child(Poly({"k": Record({"n": Attr("double", converter=lambda x: x.try_cast("double") / 2)})}), required=False)}, "r")
+    assert rows(extract(docs(spark, "<r><a>four</a><k n='3'/></r>"), good)) == [{"a": 4, "u": {"_type": "k", "k": {"n": 1.5}}}]
+    (r,) = rows(extract(docs(spark, "<r><a>four</a><k n='x'/></r>"), good, mode="PERMISSIVE"))
+    assert [e["kind"] for e in r["_errors"]] == ["Coercion"]
+
+
+def test_lists_of_keys_and_values(spark):
+    spec = Record({"m": MapOf("e", Part("k", many=True), Part("v", "int", many=True))}, "r")
+    xml = "<r><e><k>a</k><k>b</k><v>1</v></e><e><k>b</k><v>2</v></e><e><k>a</k><k>b</k><v>3</v><v>4</v></e><e/></r>"
+    assert rows(extract(docs(spark, xml), spec)) == [{"m": [{"key": ["a", "b"], "value": [1, 3, 4]}, {"key": ["b"], "value": [2]}, {"key": [], "value": []}]}]
+
+
+def test_lists_with_wrong_values(spark):
+    (r,) = rows(extract(docs(spark, "<r><v>1</v><v>x</v><v>3</v><v>y</v></r>"), Record({"v": Child("int", many=True)}, "r"), mode="PERMISSIVE"))
+    assert r["v"] == [1, None, 3, None] and [e["raw"] for e in r["_errors"]] == ["x", "y"]
+
+
+def test_a_reader_serves_many_documents(spark):
+    """Nothing of one document is seen in the next, of the same task or after a broken one."""
+    spec = Record({"k": Attr("int"), "v": Child("int", many=True), "w": Child(required=False)}, "//r")
+    texts = ["<d><r k='1'><v>1</v><w>a</w></r></d>", "<d><r k='2'>", "<d><r k='3'/><r k='4'><v>4</v></r></d>"] * 3
+    got = [(r["k"], r["v"], r["w"]) for r in rows(extract(docs(spark, *texts).coalesce(1), spec, mode="DROPMALFORMED"))]
+    assert got == [(1, [1], "a"), (3, [], None), (4, [4], None)] * 3
+
+
+TYPES = Record({
+    "i": Attr("int"), "l": Child("long", many=True), "d": Child("double", required=False), "b": Child("boolean"), "day": Child("date"), "t": Child("timestamp_ntz"), "z": Child("timestamp"), "x": Child("decimal(10,2)"), "own": Text(),
+    "m": MapOf("e", Part("@k", "int"), Part("v", many=True)), "mm": MapOf("f", "@k", "v", as_map=True, required=False), "u": Child(Poly({"p": Record({"n": Attr("int")}), "q": Record({"s": Child()})}), required=False),
+    "n": Child(Record({"a": Attr(), "again": Child(Self(2), "n", required=False)}), "n", many=True),
+}, "//r")
+TYPED = (
+    "<d><r i='+7'><l>1</l><l>-2</l><d> 1e3f </d><b>Yes</b><day>2026-02-28</day><t>2026-02-28T10:20</t><z>2026-02-28T10:20:30+02:00</z><x>1.005</x> own <e k='1'><v>a</v></e><e k='01'><v>b</v></e>"
+    "<f k='y'><v>1</v></f><q><s>S</s></q><n a='1'><n a='2'><n a='3'/></n></n></r></d>"
+)
+
+
+def test_table_function(spark):
+    """The same rows as extract(), from SQL, and its messages."""
+    register(spark, "typed_rows", TYPES)
+    docs(spark, TYPED, None, "<d/>").createOrReplaceTempView("typed_docs")
+    got = spark.sql("SELECT d.id AS doc, r.* FROM typed_docs d, LATERAL typed_rows(d.content) r")
+    want = extract(docs(spark, TYPED, None, "<d/>"), TYPES, keep=["id"])
+    assert [r[1:] for r in got.collect()] == [r[1:] for r in want.collect()] and got.count() == 1
+    assert spark.sql(f"SELECT i FROM typed_rows(X'{TYPED.encode().hex()}')").first().i == 7  # binary documents
+    for bad, said in ((TYPED.replace("+7", "7.5"), "Cannot coerce '7.5' to Int for 'i' at /d/r"), (TYPED.replace("<b>Yes</b>", ""), "Missing required field 'b' at /d/r"), (TYPED.replace("a='3'/", "a='3'><n a='4'/></n"), "goes on below"), (TYPED[:-4], "no element found|unclosed")):
+        docs(spark, bad).createOrReplaceTempView("typed_docs")
+        with pytest.raises(Exception, match=said):
+            spark.sql("SELECT r.* FROM typed_docs d, LATERAL typed_rows(d.content) r").collect()
+    with pytest.raises(SpecError, match="table function"):
+        register(spark, "f", Record({"a": Child("date", fmt="dd.MM.yyyy")}, "r"))
+
+
+@pytest.mark.parametrize("kind", VALUES)
+def test_table_functions_read_texts_alike(kind):
+    good, bad = VALUES[kind]
+    read = scalar_reader(scalar(kind))
+    assert {x: read(x) for x in [*good, *bad]} == good | dict.fromkeys(bad)

@@ -1,5 +1,8 @@
 """Raw records off documents, without Spark."""
 
+import os
+from pathlib import Path
+
 import pytest
 
 from treeframe.plans.program import program
@@ -101,7 +104,9 @@ def test_records_inside():
 
 def test_self():
     spec = {"k": Attr(), "kids": Child(Self(2), "r", many=True)}
-    assert raw("<r k='1'><r k='2'><r k='3'/></r></r>", spec) == [{"k": "1", "kids": [{"k": "2", "kids": [{"k": "3"}]}]}]
+    assert raw("<r k='1'><r k='2'><r k='3'/></r></r>", spec) == [{"k": "1", "kids": [{"k": "2", "kids": [{"k": "3", "kids": None}]}]}]
+    (deeper,) = raw("<r><r><r><r/></r></r></r>", spec)
+    assert deeper["kids"][0]["kids"][0]["kids"] is not None  # one level more is seen, not read
 
 
 def test_maps():
@@ -165,3 +170,33 @@ def test_what_no_field_reads_is_not_kept():
     s.feed("<r><skipped><b>no</b></skipped><b>y")
     assert [x.tag for x in s.at.above.kids()] == ["b"]
     assert s.feed("</b></r>", True)[0]["b"] == "y"
+
+
+def test_a_limit_stops_the_parse():
+    """Records are handed on as they end: who wants three reads no more of the document than holds them."""
+    prog = program(Record({"k": Attr("int")}, "//r"))
+    read = []
+
+    def document():
+        yield "<d>"
+        for i in range(10_000):
+            read.append(i)
+            yield f"<r k='{i}'/>"
+
+    found = records(document(), prog)
+    assert [next(found)["k"] for _ in range(3)] == ["0", "1", "2"] and len(read) <= 4
+    found.close()
+    found.close()  # closing again does nothing
+    assert len(read) <= 4 and list(found) == []
+
+
+def test_files_are_closed(tmp_path):
+    """When a reader of a file stops early, and when it is closed twice."""
+    from treeframe.sources.files import _File, _Reader
+
+    (tmp_path / "x.xml").write_text("<d>" + "<r k='1'/>" * 50_000 + "</d>")
+    found = _Reader(str(tmp_path), program(Record({"k": Attr("int")}, "//r"))).read(_File(str(tmp_path / "x.xml")))
+    assert next(found).num_rows > 0
+    found.close()
+    found.close()
+    assert not [f for f in map(os.path.realpath, Path("/proc/self/fd").iterdir()) if f.endswith("x.xml")]

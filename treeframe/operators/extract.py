@@ -6,16 +6,16 @@ from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.compile import AT, ERROR, no_errors, raw_type, typed_record
+from ..plans.compile import AT, ERROR, no_errors, raw_type, typed_record, wrong_converters
 from ..plans.program import Program, program
 from ..plans.spec import Record
-from ..plans.validate import check
-from ..sources.split import Malformed, pieces, records
+from ..plans.validate import SpecError, check
+from ..sources.split import Malformed, Reader, pieces, records
 
 MODES = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
 #: Records handed to Spark at a time.
@@ -59,8 +59,9 @@ def split(df: DataFrame, prog: Program, content: str, keep: Sequence[str] = ())
     schema = T.StructType([source.schema["row"], *record_fields(prog)])
 
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(prog.body, prog.ignore_ns)  # one for all documents of a task
         for b in incoming:
-            found = ((i, p, r) for i, x in enumerate(b.column(1)) if x.is_valid for p, r in enumerate(records(pieces(x.as_py()), prog), 1))
+            found = ((i, p, r) for i, x in enumerate(b.column(1)) if x.is_valid for p, r in enumerate(records(pieces(x.as_py()), prog, reader), 1))
             for at, columns in batches(found, prog):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *columns], names=["row", "pos", "bad", "rec"])
 
@@ -86,10 +87,12 @@ def typed(raw: DataFrame, spec: Record, prog: Program, mode: str, kept: dict[str
     return raw.filter(F.when(F.size(found) == 0, F.lit(True)).otherwise(fail)).select(*columns)
 
 
-def prepared(spec: Record | type, ignore_namespace: bool, mode: str, kept: Iterable[str]) -> tuple[Record, Program]:
+def prepared(spark: SparkSession, spec: Record | type, ignore_namespace: bool, mode: str, kept: Iterable[str]) -> tuple[Record, Program]:
     """The checked record and its program."""
     spec = getattr(spec, "spec", spec)
     check(spec)
+    if problems := wrong_converters(spark, spec):
+        raise SpecError(problems)
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if clash := sorted(set(kept) & {*spec.fields, *(["_errors"] if mode == "PERMISSIVE" else [])}):
@@ -110,6 +113,6 @@ def extract(
     the errors in _errors; a malformed document gives the records before the fault and then a row with only the error.
     DROPMALFORMED leaves out what has errors. A null document has no records; an empty one is malformed.
     """
-    spec, prog = prepared(spec, ignore_namespace, mode, [*keep, *([position] if position else [])])
+    spec, prog = prepared(df.sparkSession, spec, ignore_namespace, mode, [*keep, *([position] if position else [])])
     kept = {c: F.col("row")[c] for c in keep} | ({position: F.col("pos")} if position else {})
     return typed(split(df, prog, content, keep), spec, prog, mode, kept)

@@ -19,7 +19,7 @@ _FIELDS = "pre long, last long, parent long, level int, ns string, local string,
 _BATCH = 4096
 
 
-def _elements(content: str | bytes) -> Iterator[tuple]:
+def _elements(content: str | bytes, with_text: bool) -> Iterator[tuple]:
     """The elements of a document as they end."""
     done, stack, count = [], [], 0
     p = expat.ParserCreate(namespace_separator="}")
@@ -33,14 +33,15 @@ def _elements(content: str | bytes) -> Iterator[tuple]:
     def end(_: str) -> None:
         pre, name, attrs, line, own, whole = stack.pop()
         ns, _, local = name.rpartition("}")
-        text = "".join(whole)
-        if stack:
+        text = "".join(whole) if with_text else None
+        if stack and with_text:
             stack[-1][5].append(text)
         done.append((pre, count, stack[-1][0] if stack else 0, len(stack), ns or None, local, list(attrs.items()), "".join(own), text, line))
 
     def data(s: str) -> None:
         stack[-1][4].append(s)
-        stack[-1][5].append(s)
+        if with_text:
+            stack[-1][5].append(s)
 
     p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, data
     for piece in pieces(content):
@@ -51,12 +52,13 @@ def _elements(content: str | bytes) -> Iterator[tuple]:
     yield from done
 
 
-def nodes(df: DataFrame, content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+def nodes(df: DataFrame, content: str = "content", keep: Sequence[str] = (), text: bool = True) -> DataFrame:
     """A row for each element of each document: the kept columns, then
 
     pre (its number, in the order of start tags, from 1), last (the number of the last element inside it, or its own), parent
     (0 for the root), level, ns (null for none), local, attrs (by name, {uri}name in a namespace), own_text, text (with that
-    of the elements inside) and line. A null document has no elements; one that is not well formed fails the job.
+    of the elements inside) and line. text repeats what is inside at every level; without it (text=False) the column is null. A table
+that several paths are looked up in is better written once: each find() on an unwritten one parses the documents again. A null document has no elements; one that is not well formed fails the job.
     """
     row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("row")
     source = df.select(row, F.col(f"`{content}`").alias("content"))
@@ -75,7 +77,7 @@ def nodes(df: DataFrame, content: str = "content", keep: Sequence[str] = ()) ->
                 return out
 
             for i, x in enumerate(b.column(1)):
-                for r in _elements(x.as_py()) if x.is_valid else ():
+                for r in _elements(x.as_py(), text) if x.is_valid else ():
                     at.append(i)
                     rows.append(r)
                     if len(rows) >= _BATCH:

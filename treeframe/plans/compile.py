@@ -6,14 +6,15 @@ in the order of its fields, those of records inside it at the place of their fie
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import by_key
 from ..functions.coerce import coerce
 from .program import Body, Slot, inner, part
-from .spec import Attr, Child, Kind, MapOf, Part, Poly, Record, Text, scalar, shown
+from .spec import Attr, Beyond, Child, Kind, MapOf, Part, Poly, Record, Text, scalar, shown
 
 AT = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("path", T.StringType())])
 ERROR = "struct<kind:string,field:string,raw:string,type:string,line:int,col:int,path:string,message:string>"
@@ -53,6 +54,8 @@ def schema_of(record: Record) -> T.StructType:
     """The schema of the record's rows; required fields and lists are never null."""
     fields = []
     for name, how in record.fields.items():
+        if isinstance(getattr(how, "type", None), Beyond):
+            continue
         if isinstance(how, MapOf):
             k, v = part(how.key), part(how.value)
             kt, vt = (T.ArrayType(t, False) if p.many else t for p, t in ((p, value_type(record, p.type)) for p in (k, v)))
@@ -78,6 +81,14 @@ def _error(kind: str, field: str, raw: Column, type_name: str | None, at: Column
     )
 
 
+def _too_deep(field: str, depth: int, raw: Column, at: Column, slot: Slot) -> Column:
+    none, path = F.lit(None).cast("string"), raw["path"] if slot.suffix is None else F.concat(at["path"], F.lit(slot.suffix))
+    said = F.concat(F.lit(f"'{field}' goes on below the {depth} levels of its Self({depth}), at "), path, F.lit(" (line "), raw["line"].cast("string"), F.lit(", col "), raw["col"].cast("string"), F.lit(")"))
+    return F.struct(
+        F.lit("Depth").alias("kind"), F.lit(field).alias("field"), none.alias("raw"), none.alias("type"), raw["line"].alias("line"), raw["col"].alias("col"), path.alias("path"), said.alias("message"),
+    )
+
+
 def _some(errors: list[Column]) -> Column:
     """Arrays of errors, one after another."""
     return F.concat(*errors) if len(errors) > 1 else errors[0] if errors else no_errors()
@@ -95,7 +106,7 @@ def _converted(record: Record, how: Attr | Child | Text | Part, text: Column) ->
     """The value, the type's name in messages, and whether a text can fail to be one."""
     kind = value_type(record, how.type)
     if getattr(how, "converter", None) is not None:
-        return how.converter(text).cast(kind), shown(kind), True
+        return how.converter(text), shown(kind), True  # wrong_converters() has compared the types
     return coerce(text, kind, getattr(how, "fmt", None)), shown(kind), not isinstance(kind, T.StringType)
 
 
@@ -103,6 +114,9 @@ def typed_record(record: Record, body: Body, raw: Column) -> tuple[dict[str, Col
     """The fields of a raw record, and arrays of errors."""
     values, errors = {}, []
     for (name, how), slot in zip(record.fields.items(), body.slots, strict=True):
+        if isinstance(getattr(how, "type", None), Beyond):
+            errors.append(_if(raw[slot.name].isNotNull(), _too_deep(name, how.type.depth, raw[slot.name], raw["_at"], slot)))
+            continue
         values[name], more = _field(record, name, how, slot, raw[slot.name], raw["_at"])
         errors += more
     return values, errors
@@ -151,9 +165,13 @@ def _union(poly: Poly, slot: Slot, raw: Column) -> tuple[Column, list[Column]]:
 def _scalar(record: Record, name: str, how: Attr | Child | Text | Part, slot: Slot, raw: Column, at: Column) -> tuple[Column, list[Column]]:
     if slot.many:
         _, kind, fails = _converted(record, how, F.get(raw, F.lit(0)))
+        if not fails:
+            return raw, []
+        value = F.transform(raw, lambda x: _converted(record, how, x)[0])
+        # Texts are coerced again only where the list has a null, that is, an error.
         bad = lambda x: _error("Coercion", name, x, kind, at)
-        errors = [F.transform(F.filter(raw, lambda x: _converted(record, how, x)[0].isNull()), bad)] if fails else []
-        return (F.transform(raw, lambda x: _converted(record, how, x)[0]) if fails else raw), errors
+        wrong = F.transform(F.filter(raw, lambda x: _converted(record, how, x)[0].isNull()), bad)
+        return value, [F.when(F.exists(value, lambda x: x.isNull()), wrong).otherwise(no_errors())]
     text = raw["v"] if slot.located else raw
     value, kind, fails = _converted(record, how, text)
     errors = []
@@ -165,6 +183,29 @@ def _scalar(record: Record, name: str, how: Attr | Child | Text | Part, slot: Sl
     return value, errors
 
 
+def wrong_converters(spark: SparkSession, record: Record, inside: tuple[int, ...] = ()) -> list[str]:
+    """What converters give that is not of their field's type, as Spark's analyser sees them; it needs no data."""
+    out: list[str] = []
+    for name, how in record.fields.items():
+        kinds = [part(how.key).type, part(how.value).type] if isinstance(how, MapOf) else [how.type]
+        for kind in kinds:
+            kind = getattr(kind, "spec", kind)
+            for r in kind.kinds.values() if isinstance(kind, Poly) else [kind] if isinstance(kind, Record) else []:
+                r = getattr(r, "spec", r)
+                if id(r) not in inside:
+                    out += wrong_converters(spark, r, (*inside, id(r)))
+        if getattr(how, "converter", None) is not None:
+            want = value_type(record, how.type)
+            try:
+                got = spark.createDataFrame([], "x string").select(how.converter(F.col("x")).alias("v")).schema["v"].dataType
+            except AnalysisException as e:
+                out.append(f"{name!r}: its converter can't be used on a text: {e.getCondition() or e}")
+                continue
+            if got.simpleString() != want.simpleString():
+                out.append(f"{name!r}: its converter gives {got.simpleString()}, but the field says {want.simpleString()}; make the two agree")
+    return out
+
+
 def _map(record: Record, name: str, how: MapOf, slot: Slot, raw: Column) -> tuple[Column, list[Column]]:
     parts = {"key": part(how.key), "value": part(how.value)}
 

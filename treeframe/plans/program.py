@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from .paths import Name, Path, Step, parse, parse_child
-from .spec import Attr, Child, MapOf, Part, Poly, Record, Self, Text, scalar
+from .spec import Attr, Beyond, Child, MapOf, Part, Poly, Record, Self, Text, scalar
 
 
 @dataclass
@@ -88,19 +88,17 @@ def inner(record: Record, how: Attr | Child | Text | Part) -> Record | None:
     """The record that a field holds, if it holds one; Self is that of the field's owner, one level less deep."""
     kind = how.type
     if isinstance(kind, Self):
-        return unrolled(record, kind.depth)
+        return unrolled(record, kind.depth, kind.of or kind.depth)
     kind = getattr(kind, "spec", kind)
     return kind if isinstance(kind, Record) else None
 
 
-def unrolled(record: Record, depth: int) -> Record:
-    """The record with fields of its own kind one level less deep, and without them at the last level."""
+def unrolled(record: Record, depth: int, whole: int) -> Record:
+    """The record with fields of its own kind one level less deep; at the last level these only look whether there is more."""
     fields = {}
     for name, how in record.fields.items():
         if isinstance(how, Child) and isinstance(how.type, Self):
-            if depth <= 1:
-                continue
-            how = Child(Self(depth - 1), how.path or name, how.required, how.many)
+            how = Child(Self(depth - 1, whole), how.path or name, how.required, how.many) if depth > 1 else Child(Beyond(whole), how.path or name, required=False)
         fields[name] = how
     return Record(fields, record.path, record.ns, record.name)
 

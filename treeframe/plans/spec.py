@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 Kind = Any  # a Spark type, its name, a Record, a Poly or a Self
+#: From the text to a value of the field's type, null where the text is none: errors that it raises itself end the job in any mode.
 Converter = Callable[[Column], Column]
 
 #: Names of the scalar types that fields may have, and how messages call them.
@@ -96,9 +97,20 @@ class Poly:
 
 @dataclass(frozen=True, eq=False)
 class Self:
-    """The record that holds the field, so many levels deep; deeper ones are left out. Spark schemas cannot recur."""
+    """The record that holds the field, so many levels deep. Spark schemas cannot recur: a document that goes deeper has an error.
+
+    of: the depth that was asked for, in the levels below the first.
+    """
 
     depth: int = 3
+    of: int | None = None
+
+
+@dataclass(frozen=True, eq=False)
+class Beyond:
+    """What would be one level more than a Self has room for: no column, but an error where a document has it."""
+
+    depth: int
 
 
 @dataclass(frozen=True, eq=False)

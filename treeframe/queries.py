@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.extract import extract
 from .operators.nodes import find, nodes
+from .operators.udtf import register
 from .plans.spec import Attr, Child, MapOf, Part, Poly, Record, Self, Text
 from .render import joined, order_docs, read, scratch, xml
 from .sources.files import read_files, read_large
@@ -149,6 +150,21 @@ def attr_leaf_list(spark, sf_dir):
     return extract(docs, Record({"n": Child("int", "line/@n", many=True)}, "//order"), keep=["doc_id"]).select("doc_id", F.explode("n").alias("n"))
 
 
+@query("SELECT o_orderkey AS doc_id, arg_max(l_quantity, ord) AS last_qty, count(l_orderkey) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def two_fields_one_path(spark, sf_dir):
+    """One path for a single value and for a list."""
+    docs = order_docs(spark, sf_dir, ORDER, body=LINE)
+    out = extract(docs, Record({"last_qty": Child("double", "line/qty", required=False), "all": Child("double", "line/qty", many=True)}, "//order"), keep=["doc_id"])
+    return out.select("doc_id", "last_qty", F.size("all").cast("long").alias("n"))
+
+
+@query(_ORDERS)
+def unread_children(spark, sf_dir):
+    """Children that no field reads are passed over, whatever is in them: records and fields of the same names too."""
+    doc = f'<root><order key="{{o_orderkey}}"><skip><total>-1</total>{_DECOY}<deep><deep><total>x</total></deep></deep></skip><total>{{o_totalprice}}</total><skip/></order></root>'
+    return _orders(spark, sf_dir, "//order", doc)
+
+
 @query("SELECT l_orderkey AS doc_id, sum(l_quantity) AS qty, count(*) AS n FROM l GROUP BY l_orderkey")
 def desc_child(spark, sf_dir):
     docs = order_docs(spark, sf_dir, ORDER.replace("{body}", "<a><b>{body}</b></a>"), body=LINE)
@@ -317,6 +333,40 @@ def map_nullable(spark, sf_dir):
     return _map(spark, sf_dir, MapOf("price", "n", "v", required=False)).select("doc_id", F.col("m").isNull().alias("none"))
 
 
+@query("SELECT l_orderkey AS doc_id, l_returnflag AS k, arg_max(l_quantity, ord) AS v FROM l GROUP BY ALL")
+def self_step(spark, sf_dir):
+    """The path . is the entry itself: its text is the value."""
+    docs = order_docs(spark, sf_dir, "<root><order>{body}</order></root>", body='<price k="{l_returnflag}"> {l_quantity}<!-- as text --></price>')
+    out = extract(docs, Record({"m": MapOf("price", "@k", Part(".", "double"))}, "//order"), keep=["doc_id"])
+    return out.select("doc_id", F.explode("m").alias("e")).select("doc_id", F.col("e.key").alias("k"), F.col("e.value").alias("v"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_returnflag || l_linestatus AS k, sum(l_quantity) AS total, count(*) AS n FROM l GROUP BY ALL")
+def map_lists(spark, sf_dir):
+    """Lists as keys and lists as values: entries with an equal list add to one value."""
+    docs = order_docs(spark, sf_dir, "<root><order>{body}</order></root>", body="<price><k>{l_returnflag}</k><k>{l_linestatus}</k><v>{l_quantity}</v></price>")
+    out = extract(docs, Record({"m": MapOf("price", Part("k", many=True), Part("v", "double", many=True))}, "//order"), keep=["doc_id"])
+    e = out.select("doc_id", F.explode("m").alias("e"))
+    return e.select("doc_id", F.array_join("e.key", "").alias("k"), F.aggregate("e.value", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("e.value").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_returnflag AS k, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) AS v FROM l GROUP BY ALL")
+def map_attr_list(spark, sf_dir):
+    """Values from an attribute at the end of a path, all of them."""
+    docs = order_docs(spark, sf_dir, "<root><order>{body}</order></root>", body='<price k="{l_returnflag}"><v n="{ord}"/></price>')
+    out = extract(docs, Record({"m": MapOf("price", "@k", Part("v/@n", "int", many=True))}, "//order"), keep=["doc_id"])
+    return out.select("doc_id", F.explode("m").alias("e")).select("doc_id", F.col("e.key").alias("k"), F.array_join(F.transform("e.value", lambda x: x.cast("string")), ",").alias("v"))
+
+
+@query("SELECT l_orderkey AS doc_id, CASE WHEN l_returnflag = 'N' THEN 'm.key' ELSE 'm.value' END AS field, count(*) AS n FROM l WHERE l_returnflag = 'N' OR l_linestatus = 'F' GROUP BY ALL")
+def map_missing(spark, sf_dir):
+    """Entries without a key, or with a key but without a value, that have to be there."""
+    values = {"k": F.when(F.col("l_returnflag") != "N", F.concat(F.lit(' k="'), "l_returnflag", F.lit('"'))), "v": F.when((F.col("l_returnflag") == "N") | (F.col("l_linestatus") != "F"), "<v>1</v>")}
+    docs = order_docs(spark, sf_dir, "<root><order>{body}</order></root>", values, body="<price{k}>{v}</price>")
+    out = extract(docs, Record({"m": MapOf("price", "@k", Part("v", "int"))}, "//order"), keep=["doc_id"], mode="PERMISSIVE")
+    return out.select("doc_id", F.explode("_errors").alias("e")).filter("e.kind = 'Missing'").groupBy("doc_id", F.col("e.field").alias("field")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _EVENT = Record({"id": Attr("long"), "v": Attr("double")})
 _EVENTS = "SELECT event_id AS id, event_type AS kind, CASE WHEN event_type = 'click' THEN user_id END AS u, value AS v FROM events WHERE event_type IN ('click', 'view')"
 
@@ -453,6 +503,27 @@ def err_fields(spark, sf_dir):
     return out.select("doc_id", F.get("_errors", F.lit(0))["kind"].alias("kind"), F.get("_errors", F.lit(0))["message"].alias("message"))
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN '' WHEN 'P' THEN o_orderpriority END AS name, o_orderstatus = 'O' AS missing,
+  CASE o_orderstatus WHEN 'O' THEN 'Missing required field ''name'' at /root/order (line 1, col 7)' END AS message FROM orders""")
+def err_missing(spark, sf_dir):
+    """A required text that is not there, and one that is there but empty, which is no error."""
+    name = F.when(F.col("o_orderstatus") == "F", F.lit("<name/>")).when(F.col("o_orderstatus") == "P", F.concat(F.lit("<name>"), "o_orderpriority", F.lit("</name>")))
+    out = extract(order_docs(spark, sf_dir, "<root><order>{name}</order></root>", {"name": name}), Record({"name": Child()}, "//order"), keep=["doc_id"], mode="PERMISSIVE")
+    missing = F.get("_errors", F.lit(0))
+    return out.select("doc_id", "name", (F.size("_errors") > 0).alias("missing"), missing["message"].alias("message"))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 END AS n_deeper, o_orderkey % 4 = 3 AS too_deep FROM orders")
+def err_depth(spark, sf_dir):
+    """A record inside itself, below as many levels as there is room for and below one more."""
+    part = lambda inside: f"<part>{inside}</part>"
+    deep = F.element_at(F.array(*[F.lit(x) for x in ("", part(""), part(part("")), part(part(part(""))))]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    out = extract(order_docs(spark, sf_dir, "<part>{deep}</part>", {"deep": deep}), Record({"parts": Child(Self(2), "part", many=True)}, "/part"), keep=["doc_id"], mode="PERMISSIVE")
+    n = F.size("parts") + F.aggregate("parts", F.lit(0), lambda a, x: a + F.size(x["parts"]))
+    wrong = F.get("_errors", F.lit(0))["kind"].eqNullSafe("Depth")
+    return out.select("doc_id", F.when(~wrong, n.cast("long")).alias("n_deeper"), wrong.alias("too_deep"))
+
+
 @query("SELECT o_orderkey AS doc_id, 1 AS n_good, CAST(o_orderstatus = 'F' AS INTEGER) AS n_malformed FROM orders")
 def err_malformed(spark, sf_dir):
     """Records before the fault are there."""
@@ -498,13 +569,23 @@ def record_position(spark, sf_dir):
 
 @query("SELECT l_orderkey AS doc_id, CAST(ord AS VARCHAR) AS value, l_quantity AS qty FROM l WHERE ord = 2 AND l_returnflag = 'R'")
 def nodes_sql(spark, sf_dir):
-    """The same by joins over the table of elements."""
-    n = nodes(order_docs(spark, sf_dir, ORDER, body=LINE), keep=["doc_id"])
+    """The same by joins over the table of elements, which is written once and read by name for each step."""
+    path = scratch(spark)
+    nodes(order_docs(spark, sf_dir, ORDER, body=LINE), keep=["doc_id"], text=False).write.parquet(path)
+    n = spark.read.parquet(path)
     line = find(n, "//order/line[2][@flag='R']/@n", "doc_id")
     qty = find(n, "//line/qty", "doc_id").select(F.col("doc_id").alias("d"), F.col("parent").alias("p"), F.col("own_text").cast("double").alias("qty"))
     return line.join(qty, (F.col("doc_id") == F.col("d")) & (F.col("pre") == F.col("p"))).select("doc_id", "value", "qty")
 
 
+@query(_ORDERS)
+def sql_udtf(spark, sf_dir):
+    """The extraction as a table function of SQL."""
+    register(spark, "order_heads", Record(_HEAD, "//order"))
+    order_docs(spark, sf_dir, f"<root>{_PLAIN}</root>").createOrReplaceTempView("order_docs")
+    return spark.sql("SELECT r.* FROM order_docs d, LATERAL order_heads(d.content) r")
+
+
 def _region_files(spark: SparkSession, sf_dir: str) -> str:
     """A file for each region."""
     path = scratch(spark)

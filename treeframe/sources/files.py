@@ -32,7 +32,7 @@ def read_large(spark: SparkSession, path: str, spec: Record | type, ignore_names
     One file is one task, as markup cannot be entered in its middle. Files are opened with Arrow's file systems: local
     paths, or URIs (s3, gs, hdfs, file) that Arrow knows.
     """
-    spec, prog = prepared(spec, ignore_namespace, mode, ["path", *([position] if position else [])])
+    spec, prog = prepared(spark, spec, ignore_namespace, mode, ["path", *([position] if position else [])])
     spark.dataSource.register(RecordSource)
     raw = spark.read.format(FORMAT).option("program", base64.b64encode(cloudpickle.dumps(prog)).decode()).load(path)
     return typed(raw, spec, prog, mode, {"path": F.col("path")} | ({position: F.col("pos")} if position else {}))

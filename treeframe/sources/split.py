@@ -78,6 +78,7 @@ class Reader:
         self.below = {id(b): self.by_name(b.below) for b in self._branches([*body.direct, *body.heads])}
         self.blank = [[] if s.many else None for s in body.slots]
         self.names = [s.name for s in body.slots]
+        self.keys = self.wanted()
 
     def _branches(self, level: list[Branch]) -> Iterator[Branch]:
         for b in level:
@@ -203,10 +204,10 @@ class Reader:
 class Splitter:
     """Feed it a document; it returns the records that have ended."""
 
-    def __init__(self, program: Program) -> None:
-        self.reader = Reader(program.body, program.ignore_ns)
+    def __init__(self, program: Program, reader: Reader | None = None) -> None:
+        self.reader = reader or Reader(program.body, program.ignore_ns)
         self.keep_body = program.body.reads_children
-        self.wanted = self.reader.wanted()
+        self.wanted = self.reader.keys
         self.ignore_ns = program.ignore_ns
         self.matcher = Matcher(program.path, program.ignore_ns)
         self.stack: list[str] = []
@@ -291,9 +292,9 @@ class Splitter:
         return done
 
 
-def records(pieces: Iterable[str | bytes], program: Program) -> Iterator[dict[str, Any] | Malformed]:
-    """The records of one document in order; where it is malformed, what is wrong comes last."""
-    s = Splitter(program)
+def records(pieces: Iterable[str | bytes], program: Program, reader: Reader | None = None) -> Iterator[dict[str, Any] | Malformed]:
+    """The records of one document in order; where it is malformed, what is wrong comes last. A reader of the program's serves many documents."""
+    s = Splitter(program, reader)
     try:
         for piece in pieces:
             yield from s.feed(piece)
