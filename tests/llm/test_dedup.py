@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeframe.llm import components, linededup, simhash, substrings
+from treeframe.llm import common, components, linededup, simhash, substrings
 from treeframe.llm.common import WORD
 
 KIND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())])
@@ -151,7 +152,7 @@ def test_components_of_long_paths(spark):
 # --- lines -------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least=10):
+def brute_lines(rows, least=1):
     """Every repeated run of lines with words that has `least` words, longest or not: later copies go."""
     docs = sorted({(i is None, i or 0, t) for i, t, _ in rows if t is not None})
     lines = [[(x, len(re.findall(WORD, x))) for x in t.split("\n") if re.search(WORD, x)] for _, _, t in docs]
@@ -178,26 +179,87 @@ def line_corpus(seed=2):
     return [(i, t, None) for i, t in out]
 
 
-def test_line_dedup(spark):
+def brute_runs(rows):
+    """For each document the maximal runs (first line, lines) that also start earlier, by comparing every two places."""
+    docs = sorted({(i is None, i or 0, t) for i, t, _ in rows if t is not None})
+    lines = [[x for x in t.split("\n") if re.search(WORD, x)] for _, _, t in docs]
+    out = {}
+    for d, (none, i, t) in enumerate(docs):
+        longest = []
+        for b in range(len(lines[d])):
+            m = 0
+            for e in range(d + 1):
+                for c in range(b if e == d else len(lines[e])):
+                    n = 0
+                    while b + n < len(lines[d]) and c + n < len(lines[e]) and lines[d][b + n] == lines[e][c + n]:
+                        n += 1
+                    m = max(m, n)
+            longest.append(m)
+        out[None if none else i, t] = [(b, m) for b, m in enumerate(longest) if m and not (b and longest[b - 1] == m + 1)]
+    return out
+
+
+def without(text, gone):
+    """The text without the lines of those numbers; a line without words goes or stays with the line before it."""
+    out, i, drop = [], -1, False
+    for x in text.split("\n"):
+        if re.search(WORD, x):
+            i += 1
+            drop = i in gone
+        if not drop:
+            out.append(x)
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize(("least", "few"), [(1, 1 << 17), (10, 1 << 17), (1, 0)])
+def test_line_dedup(spark, monkeypatch, least, few):
+    """By broadcast of few names, and by joins with written ones."""
+    monkeypatch.setattr(linededup, "FEW_ROWS", few)
     rows = line_corpus()
     # Equal ids with different texts are told apart by a hash, which brute force doesn't know: ids here are unique but for equal rows.
-    gone = brute_lines(rows)
+    gone, runs = brute_lines(rows, least), brute_runs(rows)
     want = []
     for i, t, _ in rows:
-        g = gone.get((i, t), set())
-        kept = None if t is None else linededup.without(t, g)
-        want.append((i, kept, 0 if t is None else sum(bool(re.search(WORD, x)) for x in t.split("\n")), len(g)))
-    out = linededup.dedup_lines(frame(spark, rows).withColumn("i", F.lit(1)).withColumn("t", F.lit(2)))
-    assert out.columns == ["doc_id", "text", "source", "i", "t", "_n_lines", "_n_removed"]
-    got = [(r.doc_id, r.text, r._n_lines, r._n_removed) for r in out.collect()]
+        g, r = gone.get((i, t), set()), runs.get((i, t), [])
+        kept = None if t is None else without(t, g)
+        want.append((i, kept, 0 if t is None else sum(bool(re.search(WORD, x)) for x in t.split("\n")), len(g), *((len(r), max([m for _, m in r], default=0)) if least == 1 else ())))
+    out = linededup.dedup_lines(frame(spark, rows).withColumn("i", F.lit(1)).withColumn("t", F.lit(2)), min_words=least)
+    assert out.columns == ["doc_id", "text", "source", "i", "t", "_n_lines", "_n_removed", "_n_runs", "_longest"]
+    got = [(r.doc_id, r.text, r._n_lines, r._n_removed, *((r._n_runs, r._longest) if least == 1 else ())) for r in out.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert any(g for g in gone.values())
+    assert any(g for g in gone.values()) and any(m > 4 for r in runs.values() for _, m in r)
+
 
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_runs(spark, seed):
+    """Lines of few kinds, so that runs of all lengths overlap and repeat, also within one document."""
+    r = random.Random(seed)
+    rows = [(i, "\n".join(r.choice("abc" if seed else "ab") for _ in range(r.randint(1, 40))), None) for i in range(25)]
+    rows += [(30, "\n".join("a" * 37), None), (31, rows[3][1] + "\n" + rows[3][1], None)]
+    lines = linededup.places(frame(spark, rows), "doc_id", "text")
+    lines = lines.sparkSession.createDataFrame(lines.collect(), lines.schema)
+    found = {}
+    docs = sorted((i, t) for i, t, _ in rows)
+    where = {(x.k1, x.k2): None for x in lines.orderBy("p").collect()}
+    order = dict(zip(where, docs, strict=True))
+    at = {x.p: (order[x.k1, x.k2], x.i) for x in lines.collect()}
+    for x in linededup.earlier_runs(lines).collect():
+        key, i = at[x.p]
+        found.setdefault(key, {})[i] = x.m
+    for key, want in brute_runs(rows).items():
+        mine = found.get(key, {})
+        assert [(b, m) for b, m in sorted(mine.items()) if mine.get(b - 1) != m + 1] == want
+
+
+def test_removing_lines(spark):
+    def cut(text, *runs):
+        df = spark.createDataFrame([(text, [(b, m) for b, m in runs])], "t string, runs array<struct<i:int,m:int>>")
+        return df.select(linededup.without(F.col("t"), F.col("runs")).alias("c")).first().c.asDict()
 
-def test_removing_lines():
     text = "a b\n\nc\n \nd"
-    assert linededup.without(text, {1}) == "a b\n\nd"  # a line without words goes with the line before it
-    assert linededup.without(text, set()) == text and linededup.without(text, {0, 1, 2}) == ""
+    assert cut(text, (1, 1)) == {"text": "a b\n\nd", "n": 1}  # a line without words goes with the line before it
+    assert cut(text, (0, 3)) == {"text": "", "n": 3} and cut("\n\n" + text, (0, 2), (1, 2)) == {"text": "\n", "n": 3}
+    assert cut("a\nb", (1, 1)) == {"text": "a", "n": 1}
 
 
 # --- substrings --------------------------------------------------------------------------------------------------------
@@ -243,4 +305,41 @@ def test_queries_agree_with_their_operators(spark, tmp_path):
     rows = corpus(4)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.op9_substring_dedup(spark, str(tmp_path)).collect()), key=repr)
     assert got == sorted(((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute_substrings(rows, 35)), key=repr)
-    assert simhash.op2_simhash_dedup(spark, str(tmp_path)).count() == len(rows)
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    roots, least = brute_components(fps), {}
+    for (i, _, _), c in zip(rows, roots, strict=True):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    want = sorted(((i, f"{f:016x}", least[c]) for (i, _, _), f, c in zip(rows, fps, roots, strict=True)), key=repr)
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op2_simhash_dedup(spark, str(tmp_path)).collect()), key=repr) == want
+
+
+def test_windows_are_told_apart_by_both_hashes():
+    """A window whose first hash repeats but whose second does not stays."""
+    words = [b"w%d" % i for i in range(20)]
+    h, h2, n = substrings.chosen(words, 9, [])
+    assert len(h) == len(set(zip(h.tolist(), h2.tolist(), strict=True))) == 12 and (n == 1).all()
+    assert substrings.removed(words, 9, [h], h2).all()
+    assert not substrings.removed(words, 9, [h], h2[:0]).any() and substrings.removed(words, 9, [h], h2[:1]).sum() == 9
+
+
+def test_tables_are_dropped_by_their_owners(spark, tmp_path):
+    """Results that were built before another piece of work ended can still be read, and nothing stays once all have ended."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    have = lambda: {p.name for p in root.iterdir()} if root.exists() else set()
+    frame(spark, corpus(5)).write.parquet(f"{tmp_path}/documents.parquet")
+    before = have()
+    with common.scratch(spark):
+        built = [q(spark, str(tmp_path)) for q in (simhash.op2_simhash_dedup, linededup.op5_line_dedup, substrings.op9_substring_dedup)]
+        with common.scratch(spark):
+            linededup.dedup_lines(frame(spark, corpus(6))).count()
+        assert [x.count() for x in built] == [len(corpus(5))] * 3 and have() > before
+    assert have() == before
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Cluster)

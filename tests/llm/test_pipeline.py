@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from treeframe.llm import linededup, pieces, queries
-from treeframe.llm.common import WORD
+from treeframe.llm import linededup, pieces, queries, simhash, substrings
+from treeframe.llm.common import WORD, scratch
 
-from .test_dedup import brute_components, brute_fingerprint, brute_lines
+from .test_dedup import brute_alike, brute_lines, without
 from .test_others import brute_metrics, brute_targets
 
 DATA = Path("/root/testdata/sf0.001")
@@ -39,9 +39,9 @@ def test_pipeline(spark, tmp_path):
     good = [x for x in rows if (m := brute_metrics(x[1]))[0] >= 50 and 2 * m[4] <= m[0] and x[3] != "junk"]
     # 5
     gone = brute_lines([(i, t, None) for i, t, *_ in good])
-    good = [(i, linededup.without(t, gone[i, t]), lang, s) for i, t, lang, s, _ in good]
+    good = [(i, without(t, gone[i, t]), lang, s) for i, t, lang, s, _ in good]
     # 2: the smallest id of each component.
-    roots = brute_components([brute_fingerprint(x[1]) for x in good])
+    roots = brute_alike([(i, t, None) for i, t, *_ in good], 0.8)
     least = {c: min(x[0] for x, d in zip(good, roots, strict=True) if d == c) for c in roots}
     good = {x[0]: x for x in good if x[0] in least.values()}
     # 10: all words that a source owes, none more than twice; 1: each row's ids decode to words of its document.
@@ -68,9 +68,9 @@ def test_short_lines_go_too(spark):
     line = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
     pool = ["All rights reserved.", "end", line(6), line(9)]
     rows = [(i, "\n".join([line(12), r.choice(pool), "", line(3), r.choice(pool)])) for i in range(40)]
-    gone = brute_lines([(i, t, None) for i, t in rows], 1)
+    gone = brute_lines([(i, t, None) for i, t in rows])
     out = corpus_pipeline.line_dedup(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], KIND).repartition(4), "")
-    assert {x.doc_id: x.text for x in out.collect()} == {i: linededup.without(t, gone[i, t]) for i, t in rows}
+    assert {x.doc_id: x.text for x in out.collect()} == {i: without(t, gone[i, t]) for i, t in rows}
 
 
 def test_stages_return_documents(spark, tmp_path):
@@ -82,6 +82,19 @@ def test_stages_return_documents(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "mix sources", "sentencepiece"]
 
 
+def test_nothing_stays_in_the_shared_folder(spark, tmp_path):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    have = lambda: {p.name for p in root.iterdir()} if root.exists() else set()
+    rows = corpus()
+    spark.createDataFrame(rows, KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    before = have()
+    with scratch(spark):
+        built = [q(spark, str(tmp_path)) for q in (simhash.op2_simhash_dedup, linededup.op5_line_dedup, substrings.op9_substring_dedup)]
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        assert [x.count() for x in built] == [len(rows)] * 3
+    assert have() == before
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", queries.SQL)
 def test_sql(spark, name):

@@ -99,6 +99,27 @@ class Pieces:
             return []
         return _CHUNK.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
 
+    def runs(self, text: str) -> Iterator[tuple[list[str], bool]]:
+        """The chunks of a text in order, in lists; True: each is meant with one space before it.
+
+        Most lines have single spaces alone, and str.split() cuts these; the others go through chunks().
+        """
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                yield ["\n"], False
+            begins = self.dummy_prefix and not k
+            if line and "  " not in line and "\t" not in line and SPACE not in line and line[0] != " " and line[-1] != " ":
+                own = line.split(" ")
+                if begins:
+                    yield own, True
+                else:
+                    yield own[:1], False
+                    yield own[1:], True
+            else:
+                for c in _CHUNK.findall((SPACE if begins else "") + line.replace(" ", SPACE)):
+                    alone = c[:1] == SPACE and c[1:2] not in ("", SPACE)
+                    yield [c[1:] if alone else c], alone
+
     def fallback(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.byte_fallback else [self.unknown]
 
@@ -297,17 +318,21 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        plain: Counter[str] = Counter()
+        spaced: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            short = [(w, n) for w, n in counts.items() if len(w) <= HOT_CHARS]
-            counts.clear()
+            short = [(w, n) for prefix, counts in (("", plain), (SPACE, spaced)) for x, n in counts.items() if len(w := prefix + x) <= HOT_CHARS]
+            plain.clear()
+            spaced.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
 
         for b in batches:
             for x in b.column(0):
-                counts.update(model.chunks(x.as_py() or ""))
-                if len(counts) > 1 << 18:
+                x = x.as_py()
+                for words, after_space in model.runs(x) if x else ():
+                    (spaced if after_space else plain).update(words)
+                if len(plain) + len(spaced) > 1 << 18:
                     yield flush()
         yield flush()
 
@@ -323,38 +348,62 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
 
 
 class _Known(dict):
-    """Words with their ids, as bytes of int32, and the text that these decode to. A word that is not there is folded.
+    """Words, without the space before them if prefix is one, with their ids as bytes of int32. A word that is not there is folded.
 
-    The hot words stay; others are dropped together when there are CACHED of them. Pairs of bytes and text are nothing
-    that Python's cyclic garbage collector would look through again and again, as it would through lists.
+    The hot words stay; others are dropped together when there are CACHED of them. Bytes are nothing that Python's cyclic
+    garbage collector would look through again and again, as it would through lists. odd: the words whose ids decode to another text.
     """
 
     CACHED = 1 << 18
 
-    def __init__(self, model: Pieces, words: pa.Table) -> None:
-        self.model, self.n_hot = model, words.num_rows
-        for b in words.to_batches():
-            for word, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                self[word] = self.entry(word, ids.values.to_numpy().tolist())
+    def __init__(self, model: Pieces, prefix: str = "") -> None:
+        self.model, self.prefix = model, prefix
         self.later: list[str] = []
+        self.odd: set[str] = set()
 
-    def entry(self, word: str, ids: list[int]) -> tuple[bytes, str]:
-        spelled = self.model.spelled(ids)
-        return array("i", ids).tobytes(), word if spelled == word else spelled
+    def put(self, word: str, ids: list[int]) -> bytes:
+        if self.model.spelled(ids) != self.prefix + word:
+            self.odd.add(word)
+        self[word] = out = array("i", ids).tobytes()
+        return out
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         if len(self.later) >= self.CACHED:
             for w in self.later:
                 del self[w]
+            self.odd.difference_update(self.later)
             self.later.clear()
-        ids = self.model.fold(word) if len(word) <= 256 else fold_long(self.model, word)
-        self[word] = out = self.entry(word, ids)
+        whole = self.prefix + word
         self.later.append(word)
-        return out
+        return self.put(word, self.model.fold(whole) if len(whole) <= 256 else fold_long(self.model, whole))
+
+
+class Coder:
+    """Encodes texts, with what it knows of words."""
+
+    def __init__(self, model: Pieces, words: pa.Table) -> None:
+        self.model, self.plain, self.spaced = model, _Known(model), _Known(model, SPACE)
+        for b in words.to_batches():
+            for word, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                alone = word[:1] == SPACE and word[1:2] not in ("", SPACE)
+                (self.spaced if alone else self.plain).put(word[1:] if alone else word, ids.values.to_numpy().tolist())
+
+    def encode(self, text: str) -> tuple[bytes, bool]:
+        """The ids as bytes of int32, and whether they decode to the text."""
+        plain, spaced, parts, odd = self.plain, self.spaced, [], False
+        for words, after_space in self.model.runs(text) if text else ():
+            known = spaced if after_space else plain
+            parts += map(known.__getitem__, words)
+            odd = odd or bool(known.odd) and not known.odd.isdisjoint(words)
+        ids = b"".join(parts)
+        # Where every word decodes to itself, the words one after another are the text, unless it has escaped spaces of its own.
+        if odd or SPACE in text:
+            return ids, self.model.decode(np.frombuffer(ids, np.int32).tolist()) == text
+        return ids, True
 
 
 #: What a Python worker knows from the tasks before, by the call that it belongs to.
-_known: dict[str, _Known] = {}
+_known: dict[str, Coder] = {}
 
 
 def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WORDS) -> DataFrame:
@@ -377,18 +426,13 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", hot: int = HOT_WO
 
         if call not in own._known:
             own._known.clear()
-            own._known[call] = _Known(model, pa.ipc.open_stream(packed).read_all())
-        known = own._known[call]
-        word = known.__getitem__
+            own._known[call] = own.Coder(model, pa.ipc.open_stream(packed).read_all())
+        coder = own._known[call]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids, ok = [], []
-                for x in part.column(0).field(place):
-                    x = x.as_py() or ""
-                    own_words = list(map(word, model.chunks(x)))
-                    ids.append(np.frombuffer(b"".join([i for i, _ in own_words]), np.int32))
-                    ok.append(model.unescaped("".join([t for _, t in own_words])) == x)
+                found = [coder.encode(x.as_py() or "") for x in part.column(0).field(place)]
+                ids, ok = [np.frombuffer(x, np.int32) for x, _ in found], [y for _, y in found]
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets).astype(np.int64)), pa.array(ok)], names=["row", "ids", "n_tokens", "ok"])
