@@ -137,15 +137,20 @@ def row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+def free(docs: DataFrame, *names: str) -> None:
+    """Raises ValueError if docs has a column named like one of a result's: it would be replaced."""
+    have = {c.lower() for c in docs.columns}
+    if clash := [c for c in names if c.lower() in have]:
+        raise ValueError(f"the input already has columns named like results: {', '.join(clash)}; rename them first")
+
+
 def unpacked(docs: DataFrame, changed: dict[str, Column] | None = None, **added: Column) -> list[Column]:
     """The columns of docs out of a row struct, in their order, with some changed, and others added after them.
 
     An added column never replaces one of docs: if docs has one of that name, ValueError says so.
     """
     changed = changed or {}
-    have = {c.lower() for c in docs.columns}
-    if clash := [c for c in added if c.lower() in have]:
-        raise ValueError(f"the input already has columns named like results: {', '.join(clash)}; rename them first")
+    free(docs, *added)
     own = [(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns]
     return own + [v.alias(k) for k, v in added.items()]
 

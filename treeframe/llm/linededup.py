@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW_ROWS, WORD, Stored, digests, let, numbered, read, row, stored, table, unpacked
+from .common import FEW_ROWS, WORD, Stored, digests, free, let, numbered, read, row, stored, table, unpacked
 
 
 def split_lines(text: Column) -> Column:
@@ -124,6 +124,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     text. Every row of docs gives a row; other columns stay as they are, and one named like a result is an error. docs
     must give the same rows when read twice, as a table does.
     """
+    free(docs, "_n_lines", "_n_removed", "_n_runs", "_longest")
     lines = stored(places(docs, doc_id, text))
     runs = earlier_runs(lines.df)
     if min_words > 1:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import digests, hashable, numbered, read, row, table, unpacked
+from .common import digests, free, hashable, numbered, read, row, table, unpacked
 
 #: There are so many buckets or fewer as long as none need hold more than BUCKET_BYTES of text; none is made smaller than LEAST_BYTES.
 BUCKETS, LEAST_BYTES, BUCKET_BYTES = 4096, 8 << 20, 512 << 20
@@ -70,6 +70,7 @@ def shuffle_shards(docs: DataFrame, n_shards: int = 16, text: str = "text", seed
     values. An empty table gives an empty one. Columns of docs stay as they are; one named _shard or _slot is an error.
     docs must give the same rows when read twice, as a table does.
     """
+    free(docs, "_shard", "_slot")
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     buckets = n_buckets(n, size or 0)
     a, b = digests(hashable(docs))

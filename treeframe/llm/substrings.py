@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,6 @@ WINDOW = 35
 SHORTEST = 9
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
-#: Seed of the second hash of a word.
-SECOND = 1
 
 
 def levels(window: int) -> list[int]:
@@ -37,8 +34,14 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def second(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words: runs that meet in one hash have no reason to meet in that made of these."""
+    x = (h ^ (h >> np.uint64(31))) * _P3
+    return (x ^ (x >> np.uint64(27))) * _P2 + _P1
 
 
 def grams(h: np.ndarray, length: int, known: dict[int, np.ndarray]) -> np.ndarray:
@@ -86,8 +89,7 @@ def chosen(words: list[bytes], window: int, left: list[np.ndarray]) -> tuple[np.
     runs = grams(h, length, known)
     ok = candidates(h, window, left, known)
     if length == window:
-        second = grams(word_hashes(words, SECOND), length, {})
-        pairs, n = np.unique(np.stack([runs, second], axis=1), axis=0, return_counts=True) if len(runs) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
+        pairs, n = np.unique(np.stack([runs, grams(second(h), length, {})], axis=1), axis=0, return_counts=True) if len(runs) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
         held = np.isin(pairs[:, 0], runs[ok])
         return np.ascontiguousarray(pairs[held, 0]), np.ascontiguousarray(pairs[held, 1]), np.minimum(2, n[held])
     pick = np.unique(sliding_min(runs, window - length + 1)[ok])
@@ -95,15 +97,16 @@ def chosen(words: list[bytes], window: int, left: list[np.ndarray]) -> tuple[np.
     return pick, np.zeros(len(pick), np.uint64), np.minimum(2, np.searchsorted(runs, pick, "right") - np.searchsorted(runs, pick, "left"))
 
 
-def removed(words: list[bytes], window: int, left: list[np.ndarray], second: np.ndarray, copies: int = 1) -> np.ndarray:
-    """Which words stand in a window that repeats; left has the hashes of all levels, second those of the last by the other seed."""
+def removed(words: list[bytes], window: int, left: list[np.ndarray], others: np.ndarray, copies: int = 1) -> np.ndarray:
+    """Which words stand in a window that repeats; left has the hashes of all levels, others the second ones of the last."""
     gone = np.zeros(len(words) + 1, np.int64)
     if len(words) >= window:
         ok = np.ones(len(words) - window + 1, bool)
         if copies < 2:
-            ok = candidates(word_hashes(words), window, left, {})
+            h = word_hashes(words)
+            ok = candidates(h, window, left, {})
             if ok.any():
-                ok &= np.isin(grams(word_hashes(words, SECOND), window, {}), second)
+                ok &= np.isin(grams(second(h), window, {}), others)
         start = np.flatnonzero(ok)
         np.add.at(gone, start, 1)
         np.add.at(gone, start + window, -1)
@@ -114,7 +117,7 @@ def _hashes(x: pa.Scalar) -> np.ndarray:
     return x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.empty(0, np.uint64)
 
 
-_ROWS = "h long, h2 long, key binary, n int"
+_ROWS = "h long, h2 long, tid long, n int"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +132,7 @@ def _unpack(z: bytes, size: int) -> list[bytes]:
 
 
 def _level(window: int):
-    """Rows are (key, z, size, copies, hashes of the levels before): the runs that each text chooses next."""
+    """Rows are (tid, z, size, copies, hashes of the levels before): the runs that each text chooses next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +143,7 @@ def _level(window: int):
             many = np.repeat(np.arange(b.num_rows), [len(h) for h, _, _ in found])
             h, h2 = (np.concatenate([*(x[k] for x in found), np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64) for k in (0, 1))
             n = np.concatenate([*(x[2] for x in found), np.empty(0, np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(pa.array(many)), pa.array(n)], ["h", "h2", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(pa.array(many)), pa.array(n)], ["h", "h2", "tid", "n"])
 
     return run
 
@@ -149,9 +152,9 @@ def _result(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, z, size, copies, second, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
+            for key, z, size, copies, others, *left in zip(*(b.column(i) for i in range(b.num_columns)), strict=True):
                 w = _unpack(z.as_py(), size.as_py())
-                gone = removed(w, window, [_hashes(x) for x in left], _hashes(second), copies.as_py())
+                gone = removed(w, window, [_hashes(x) for x in left], _hashes(others), copies.as_py())
                 kept = b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)
                 out.append((key.as_py(), len(w), int(gone.sum()), kept))
             names = ["key", "n_words", "n_removed", "kept_text"]
@@ -161,10 +164,10 @@ def _result(window: int):
 
 
 def _left(rows: DataFrame, name: str) -> Stored:
-    """(key, name, name_2): the runs of each text that start more than once in all texts."""
+    """(tid, name, name_2): the runs of each text that start more than once in all texts."""
     # The runs are written before they are joined: then one that very many texts share is split among tasks.
     twice = stored(rows.groupBy("h", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "h2"))
-    out = stored(rows.join(twice.df, ["h", "h2"], "left_semi").groupBy("key").agg(F.collect_set("h").alias(name), F.collect_set("h2").alias(f"{name}_2")))
+    out = stored(rows.join(twice.df, ["h", "h2"], "left_semi").groupBy("tid").agg(F.collect_set("h").alias(name), F.collect_set("h2").alias(f"{name}_2")))
     twice.drop()
     return out
 
@@ -173,24 +176,25 @@ def search(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     """(doc_id, key) of each row of docs, and (key, n_words, n_removed, kept_text) of each different text; the key is its MD5."""
     value = F.coalesce(F.col(text), F.lit(""))
     key = F.unhex(F.md5(value))
-    # One row for each text: copies meet in the map-side part of the aggregate.
+    # One row for each text: copies meet in the map-side part of the aggregate. Runs go by the texts' numbers, which are shorter.
     packed = docs.select(key.alias("key"), value.alias("text")).mapInArrow(_pack, "key binary, z binary, size long")
-    texts = stored(packed.groupBy("key").agg(F.first("z").alias("z"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))).df
+    texts = packed.groupBy("key").agg(F.first("z").alias("z"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id())).df
     found: Stored | None = None
     names: list[str] = []
     for i in range(len(levels(window))):
-        asked = texts.select("key", "z", "size", "copies")
-        asked = asked.filter(F.col("size") >= 2 * window - 1) if found is None else asked.join(found.df.select("key", *names), "key")
+        asked = texts.select("tid", "z", "size", "copies")
+        asked = asked.filter(F.col("size") >= 2 * window - 1) if found is None else asked.join(found.df.select("tid", *names), "tid")
         rows = stored(asked.mapInArrow(_level(window), _ROWS))
         left = _left(rows.df, f"s{i}")
         rows.drop()
-        now = left if found is None else stored(found.df.select("key", *names).join(left.df, "key"))
+        now = left if found is None else stored(found.df.select("tid", *names).join(left.df, "tid"))
         if found is not None:
             found.drop()
             left.drop()
         names.append(f"s{i}")
         found = now
-    judged = texts.join(found.df.withColumnRenamed(f"{names[-1]}_2", "second"), "key", "left").select("key", "z", "size", "copies", "second", *names)
+    judged = texts.join(found.df.withColumnRenamed(f"{names[-1]}_2", "others"), "tid", "left").select("key", "z", "size", "copies", "others", *names)
     return docs.select(F.col(doc_id).alias("doc_id"), key.alias("key")), judged.mapInArrow(_result(window), "key binary, n_words long, n_removed long, kept_text binary")
 
 
