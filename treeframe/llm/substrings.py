@@ -89,9 +89,12 @@ def chosen(words: list[bytes], window: int, left: list[np.ndarray]) -> tuple[np.
     runs = grams(h, length, known)
     ok = candidates(h, window, left, known)
     if length == window:
-        pairs, n = np.unique(np.stack([runs, grams(second(h), length, {})], axis=1), axis=0, return_counts=True) if len(runs) else (np.empty((0, 2), np.uint64), np.empty(0, np.int64))
-        held = np.isin(pairs[:, 0], runs[ok])
-        return np.ascontiguousarray(pairs[held, 0]), np.ascontiguousarray(pairs[held, 1]), np.minimum(2, n[held])
+        # Equal windows are candidates alike, so those that are none need not be counted.
+        w, w2 = runs[ok], grams(second(h), length, {})[ok]
+        order = np.lexsort((w2, w))
+        w, w2 = w[order], w2[order]
+        begin = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (w2[1:] != w2[:-1])))) if len(w) else np.empty(0, np.int64)
+        return w[begin], w2[begin], np.minimum(2, np.diff(np.append(begin, len(w))))
     pick = np.unique(sliding_min(runs, window - length + 1)[ok])
     runs = np.sort(runs)
     return pick, np.zeros(len(pick), np.uint64), np.minimum(2, np.searchsorted(runs, pick, "right") - np.searchsorted(runs, pick, "left"))
