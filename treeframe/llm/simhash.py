@@ -212,10 +212,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             more = more.join(rows.select(F.col("doc_id").alias(end), F.col("fp").alias(f"fp_{end}")), end)
         links = links.union(more.filter("fp_a <> fp_b").select("fp_a", "fp_b"))
     roots = components(links)
-    # Equal texts give one fingerprint: what is joined by it is written before, so that one of very many rows is split.
+    # What is joined is written before: then a fingerprint of very many rows, or a component of very many fingerprints, is split.
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = table(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = table(least.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = table(least.join(ids, "root").select("fp", "component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
