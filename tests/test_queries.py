@@ -1,6 +1,7 @@
 """Every query of the engine against its SQL over the tables that its documents were rendered from."""
 
 import math
+import sys
 from pathlib import Path
 
 import duckdb
@@ -45,3 +46,22 @@ def test_entry_points():
 
     assert QUERIES.keys() <= e.queries().keys() and SQL.items() <= e.oracle_sql().items()
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "treeframe.llm.queries"])
+def test_entry_without_the_llm_folders(monkeypatch, gone):
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, gone, None)
+    assert e.queries().keys() == QUERIES.keys() and e.oracle_sql().keys() == SQL.keys()
+
+
+def test_entry_hides_no_other_missing_module(monkeypatch):
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m.startswith(("treeframe.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    if (Path(e.__file__).parent / "treeframe/llm/queries.py").exists():
+        with pytest.raises(ModuleNotFoundError, match="xxhash"):
+            e.queries()
