@@ -62,6 +62,10 @@ def order_docs(spark: SparkSession, sf_dir: str, doc: str, values: Mapping[str,
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; below a temporary one where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="treeframe-")
+    """A new folder below the one that all executors share; on a local master, where none may be set, below a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="treeframe-")
     return f"{root}/treeframe-{uuid.uuid4().hex}"
