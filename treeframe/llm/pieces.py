@@ -361,12 +361,6 @@ class _Known(dict):
         self.later: list[str] = []
         self.odd: set[str] = set()
 
-    def put(self, word: str, ids: list[int]) -> bytes:
-        if self.model.spelled(ids) != self.prefix + word:
-            self.odd.add(word)
-        self[word] = out = array("i", ids).tobytes()
-        return out
-
     def __missing__(self, word: str) -> bytes:
         if len(self.later) >= self.CACHED:
             for w in self.later:
@@ -374,8 +368,12 @@ class _Known(dict):
             self.odd.difference_update(self.later)
             self.later.clear()
         whole = self.prefix + word
+        ids = self.model.fold(whole) if len(whole) <= 256 else fold_long(self.model, whole)
         self.later.append(word)
-        return self.put(word, self.model.fold(whole) if len(whole) <= 256 else fold_long(self.model, whole))
+        if self.model.spelled(ids) != whole:
+            self.odd.add(word)
+        self[word] = out = array("i", ids).tobytes()
+        return out
 
 
 class Coder:
@@ -384,9 +382,14 @@ class Coder:
     def __init__(self, model: Pieces, words: pa.Table) -> None:
         self.model, self.plain, self.spaced = model, _Known(model), _Known(model, SPACE)
         for b in words.to_batches():
-            for word, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            own, at, values = b.column(0).to_pylist(), b.column(1).offsets.to_pylist(), b.column(1).values
+            raw, ids = values.to_numpy().astype(np.int32).tobytes(), values.to_pylist()
+            for word, i, j in zip(own, at, at[1:]):  # noqa: B905
                 alone = word[:1] == SPACE and word[1:2] not in ("", SPACE)
-                (self.spaced if alone else self.plain).put(word[1:] if alone else word, ids.values.to_numpy().tolist())
+                known, key = (self.spaced, word[1:]) if alone else (self.plain, word)
+                known[key] = raw[4 * i : 4 * j]
+                if model.spelled(ids[i:j]) != word:
+                    known.odd.add(key)
 
     def encode(self, text: str) -> tuple[bytes, bool]:
         """The ids as bytes of int32, and whether they decode to the text."""
