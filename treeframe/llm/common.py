@@ -175,19 +175,20 @@ def numbered(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
     Only rows whose key stands twice or more are dealt out, by key and by the input partition that a row is in: one key may
     hold a third of all rows and still no task counts more than a partition's. Keys are not null, and rows must be the same
-    when read twice.
+    when read twice, in whatever partitions.
     """
     rows = rows.withColumn("_pid", F.spark_partition_id())
     more = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
     if more.df.isEmpty():
         more.drop()
         return rows.drop("_pid").withColumn(name, F.lit(0).cast("long"))
-    again = rows.join(more.df, key, "left_semi")
+    # Written once: a second reading of the input could be cut into other partitions.
+    local = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy(F.lit(0)))
+    again = table(rows.join(more.df, key, "left_semi").withColumn("_local", local))
     counts = again.groupBy(*key, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy(*key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
     base = table(counts.select(*key, "_pid", (F.sum("_n").over(by) - F.col("_n")).alias("_base")))
-    local = F.row_number().over(Window.partitionBy(*key, "_pid").orderBy(F.lit(0)))
-    again = again.withColumn("_local", local).join(base, [*key, "_pid"]).withColumn(name, F.col("_base") + F.col("_local") - 1)
+    again = again.join(base, [*key, "_pid"]).withColumn(name, F.col("_base") + F.col("_local") - 1)
     once = rows.join(more.df, key, "left_anti").withColumn(name, F.lit(0).cast("long"))
     columns = [*(c for c in rows.columns if c != "_pid"), name]
     return once.select(*columns).union(again.select(*columns))

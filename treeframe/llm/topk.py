@@ -117,6 +117,12 @@ def _scan(k: int):
     return run
 
 
+def _highest(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows(query, entry, ...) of each query that are highest in a column; each task sends on k rows of a query at most."""
+    order = Window.partitionBy("query").orderBy(F.col(by).desc(), "entry")
+    return rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
 def top_k(vectors: DataFrame, asks: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors that asks, the k best of all other rows, or all if there are fewer.
 
@@ -146,18 +152,18 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, vec_id: str = "vec_id",
     pairs = pairs.repartition(tasks, "asked_block", "block").join(asked.select(F.col("block").alias("asked_block"), F.col("entries").alias("asked"), F.col("bytes").alias("queries")), "asked_block")
     met = pairs.join(cells.drop("dim"), "block").join(widths, "dim").select("dim", "width", "asked", "queries", "entries", "bytes")
     # An entry more than k: the query's own may be among them with no other row.
-    found = met.mapInArrow(_scan(k + 1), "query long, entry long, lo double, hi double")
-    by = Window.partitionBy("query")
-    found = found.withColumn("r", F.row_number().over(by.orderBy(F.col("lo").desc(), "entry"))).withColumn("least", F.min(F.when(F.col("r") <= k + 1, F.col("lo"))).over(by)).filter("hi >= least")
-    near = table(found.select("query", "entry", "hi", F.row_number().over(by.orderBy(F.col("hi").desc(), "entry")).alias("place")))
+    # A query that very many entries may reach is no single task: only its best k + 1 rows are ranked, the others are joined with the k-th.
+    found = table(met.mapInArrow(_scan(k + 1), "query long, entry long, lo double, hi double"))
+    near = found.join(table(_highest(found, "lo", k + 1).groupBy("query").agg(F.min("lo").alias("least"))), "query").filter("hi >= least").select("query", "entry", "hi")
+    near = table(near)
     exact = groups.select("entry", "v")
 
     def scored(pairs: DataFrame) -> DataFrame:
         both = pairs.join(exact, "entry").join(exact.select(F.col("entry").alias("query"), F.col("v").alias("q")), "query")
         return both.select("query", "entry", F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
 
-    head = table(scored(near.filter(F.col("place") <= k + 1)))
-    rest = near.filter(F.col("place") > k + 1).join(head.groupBy("query").agg(F.min("score").alias("kth")), "query").filter("hi >= kth")
+    head = table(scored(_highest(near, "hi", k + 1).select("query", "entry")))
+    rest = near.join(head.groupBy("query").agg(F.min("score").alias("kth")), "query").filter("hi >= kth").join(head.select("query", "entry"), ["query", "entry"], "left_anti")
     scores = head.union(scored(rest.select("query", "entry")))
     best = scores.join(groups.select("entry", "members"), "entry").select("query", "score", F.explode("members").alias("m"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "m.id", "m.uid")
