@@ -5,12 +5,14 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeframe.llm import common, components, linededup, simhash, substrings
+from treeframe.llm import alike, common, components, linededup, simhash, substrings
 from treeframe.llm.common import WORD
 
 KIND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())])
@@ -116,6 +118,77 @@ def test_near_copies_beyond_three_bits(spark):
     assert simhash.dedup_documents(frame(spark, []), similarity=0.8).collect() == []
 
 
+def groups(seed=13):
+    """Texts that are alike only in a centre that nothing tells from the others, also in two groups of one passage, and equal ones."""
+    r = random.Random(seed)
+    fresh = iter(range(10**6))
+    out = []
+    passage = r.choices(WORDS, k=40)
+    for base in (r.choices(WORDS, k=60), passage + r.choices(WORDS, k=20), passage + r.choices(WORDS, k=24)):
+        group = [base]
+        for _ in range(60):
+            w = list(base)
+            w[r.randrange(5, len(w) - 5)] = f"new{next(fresh)}"
+            if r.random() < 0.3:
+                w.append(f"new{next(fresh)}")
+            group.append(w)
+        out += group + [group[7], [x.upper() for x in group[9]]]
+    out += [r.choices(WORDS, k=n) for n in (4, 5, 6, 50)] + [passage, []]
+    r.shuffle(out)
+    return [(i, " ".join(w), None) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("how", [{}, {"hot_rows": 7}, {"few": 1}, {"hot_rows": 20, "few": 2}])
+def test_alike_leaves_no_link_out(spark, how):
+    """Links connect exactly what the sets connect, though in a group of 60 that share shingles most are alike with one only."""
+    rows = groups()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").lower().split() for _, t, _ in rows)]
+    want, got = list(range(len(rows))), list(range(len(rows)))
+    wrong = 0
+
+    def join(roots, i, j):
+        return [roots[j] if c == roots[i] else c for c in roots] if roots[i] != roots[j] else roots
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and len(x & y) >= 0.8 * len(x | y):
+                want = join(want, i, j)
+    for a, b in alike.alike(frame(spark, rows).selectExpr("doc_id AS uid", "text"), 0.8, **how).collect():
+        got = join(got, a, b)
+        wrong += len(sets[a] & sets[b]) < 0.8 * len(sets[a] | sets[b])
+    assert not wrong
+    classes = lambda roots: {frozenset(i for i, c in enumerate(roots) if c == d) for d in roots}
+    assert classes(got) == classes(want)
+
+
+def test_no_alike_sets_are_ruled_out():
+    """Sets of the similarity share a first shingle in any order and differ in no more marks than in shingles."""
+    r = np.random.default_rng(3)
+    near = 0
+    for _ in range(3000):
+        both = r.integers(0, 1 << 63, int(r.integers(1, 80)), np.uint64)
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, int(r.integers(0, 2 + len(both) // 6)), np.uint64)])) for _ in range(2))
+        common = len(np.intersect1d(x, y))
+        differ = sum((a ^ b).bit_count() for a, b in zip(alike.marks(x), alike.marks(y), strict=True))
+        assert differ <= len(x) + len(y) - 2 * common
+        if common >= 0.8 * (len(x) + len(y) - common):
+            near += 1
+            frequent = np.sort(r.choice(np.union1d(x, y), len(x) // 2, replace=False))
+            counts = r.integers(2, 9, len(frequent))
+            assert len(np.intersect1d(alike.first(x, 0.8, frequent, counts), alike.first(y, 0.8, frequent, counts)))
+            assert alike.possible(np.array(len(x)), np.array(len(y)), np.array(differ), 0.8)
+    assert near > 500
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 100])
+def test_shared_keys_over_batches(step):
+    keys = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 7, 7]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(range(i, min(i + step, len(keys))))], ["key", "id"]) for i in range(0, len(keys), step)]
+    batches.insert(1, batches[0].slice(0, 0))
+    got = [x for b in alike._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert got == [(k, i) for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
 @pytest.mark.parametrize("hot", [1, 5, 4096])
 def test_links_join_all_that_are_near(spark, hot):
     """Fingerprints around a few centres, with every number of differing bits; also where all anchors count as hot."""

@@ -1,8 +1,13 @@
-"""Links between texts by the Jaccard similarity of their sets of word shingles: MinHash bands propose pairs, the sets decide."""
+"""Links between texts by the Jaccard similarity of their sets of word shingles: all that are needed to connect what is similar.
+
+Of two sets of similarity t or more, put in one order, the first n - ceil(t n) + 1 shingles of either (n: its size) have one in
+common. Only texts that share such a shingle are compared, so none is missed whatever the order is; an order with the frequent
+shingles last keeps the groups that share one small.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .components import components
 
 SHINGLE = 5
-#: A pair of similarity 0.8 shares one of BANDS bands of BAND minima with probability 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, BAND = 20, 5
-#: Shingles whose hashes are permuted at a time.
-CHUNK = 1 << 12
-
-_random = np.random.default_rng(20)
-_TIMES = _random.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _random.integers(0, 1 << 63, BANDS * BAND, np.uint64)
+#: Shingles are ordered by how many of some SAMPLE rows have them, the MOST most frequent by their counts and all others first: this moves work, not results.
+SAMPLE, MOST = 1 << 15, 1 << 20
+#: Bits of a set's marks.
+MARKS = 1024
+#: Texts that share a shingle beyond which their comparisons are dealt to several tasks.
+HOT_ROWS = 4096
+#: Comparisons made at a time.
+CELLS = 1 << 18
+#: Pairs that a text puts forward for one shingle before the nearest of them are looked at and joined.
+FEW = 8
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,28 +53,133 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """One hash for each band of the minima of a set under BANDS * BAND permutations."""
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), CHUNK):
-        least = np.minimum(least, (h[at : at + CHUNK, None] * _TIMES + _PLUS).min(axis=0))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND):
-        out = _mix(out * _STEP + least.reshape(BANDS, BAND)[:, k])
-    return out
+def marks(h: np.ndarray) -> bytes:
+    """MARKS bits, each the parity of the number of shingles that fall on it: two sets differ in as many shingles, or more, as their marks in bits."""
+    return np.packbits(np.bincount((h % np.uint64(MARKS)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).tobytes()
+
+
+def possible(n: np.ndarray, m: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles whose marks differ in these bits can have the similarity; a little too often, never too seldom."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) * (1 - 1e-9)) & (bits * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6 * (n + m))
+
+
+def first(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which one is in each set of that similarity: its first ones, by their counts (0 unless frequent), then hashes."""
+    n = len(h) - int(np.ceil(similarity * len(h) * (1 - 1e-9))) + 1
+    if not len(frequent):
+        return h[:n]
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    return h[np.argsort(np.where(frequent[at] == h, counts[at], 0), kind="stable")[:n]]
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the most frequent shingles of SAMPLE rows, or some more, and their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                h = np.concatenate([shingles(x.as_py()) for x in b.column(0).slice(at, 64)])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["key"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("uid"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long")
+    seen = some.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1").orderBy(F.desc("n")).limit(MOST).toArrow()
+    key, n = (seen.column(k).to_numpy() for k in ("key", "n"))
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def _signatures(similarity: float, frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids, digests, sizes, bits, keys = [], [], [], [], []
+            for uid, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if len(h := shingles(x.as_py())):
+                    uids.append(uid)
+                    digests.append(np.bitwise_xor.reduce(_mix(h + _STEP)))
+                    sizes.append(len(h))
+                    bits.append(marks(h))
+                    keys.append(first(h, similarity, frequent, counts).view(np.int64))
+            columns = [pa.array(uids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "digest", "n", "marks", "keys"])
 
+    return run
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) sorted by key, those whose key stands twice or more."""
+    held = np.empty((2, 0), np.int64)  # the last row, unless it has gone out
+    last = None  # the key of the last row, where that has gone out
     for b in batches:
-        uids, digests, sizes, keys = [], [], [], []
-        for uid, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if len(h := shingles(x.as_py())):
-                uids.append(uid)
-                digests.append(np.bitwise_xor.reduce(_mix(h + _STEP)))
-                sizes.append(len(h))
-                keys.append(bands(h).view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["uid", "digest", "n", "bands"])
+        if not b.num_rows:
+            continue
+        key, ids = (np.concatenate([held[k], b.column(k).to_numpy(zero_copy_only=False)]) for k in (0, 1))
+        equal = key[1:] == key[:-1]
+        keep = np.concatenate(([last is not None and key[0] == last], equal)) | np.concatenate((equal, [False]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], ["key", "id"])
+        held = np.empty((2, 0), np.int64) if keep[-1] else np.array([key[-1:], ids[-1:]])
+        last = key[-1] if keep[-1] else None
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Marks as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, MARKS // 64)
+
+
+def _near(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (a, b, n, m, marks of a, marks of b), the pairs that can have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c, n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            ok = possible(n, m, np.bitwise_count(_bits(b.column(4)) ^ _bits(b.column(5))).sum(axis=1, dtype=np.int64), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], ["a", "b"])
+
+    return run
+
+
+def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, part, home, id, root, n, marks) come sorted by (key, part). Of each such group, the pairs of one at home with any of another root
+    that can have the similarity; of one with more than a few (None: any number), those of nearest marks, which say that there are more."""
+
+    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        home, ids, root, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        if home.all():  # of two roots one is not the largest
+            names, sizes = np.unique(root, return_counts=True)
+            home = root != names[sizes.argmax()]
+        at_home = np.flatnonzero(home)
+        step = max(1, CELLS // len(ids))
+        for at in range(0, len(at_home), step):
+            i = at_home[at : at + step]
+            differ = sum(np.bitwise_count(bits[i, None, k] ^ bits[None, :, k]).astype(np.int64) for k in range(bits.shape[1]))
+            ok = (root[i, None] != root[None, :]) & possible(n[i, None], n[None, :], differ, similarity)
+            over = ok.sum(axis=1) > (len(ids) if few is None else few)
+            if over.any():
+                nearest = np.argpartition(np.where(ok[over], differ[over], MARKS + 1), few - 1, axis=1)[:, :few]
+                ok[over] = False
+                ok[np.flatnonzero(over)[:, None], nearest] = True
+            x, y = np.nonzero(ok)
+            a, b = ids[i[x]], ids[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(over[x])], ["a", "b", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        last = None
+        for b in batches:
+            key, part, home, ids, root, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            bits = _bits(b.column(6))
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))).tolist() if len(key) else []
+            for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                if held and last != (key[i], part[i]):
+                    yield from pairs(held)
+                    held = []
+                last = (key[i], part[i])
+                held.append((home[i:j].astype(bool), ids[i:j], root[i:j], n[i:j].astype(np.int64), bits[i:j]))
+        if held:
+            yield from pairs(held)
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,25 +187,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["id", "set"])
 
 
-def alike(docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between rows of docs(uid, text), of different uid, whose sets of shingles have that similarity or more.
-
-    No link is wrong: each is decided on the two sets. Equal sets are linked to the smallest uid that has them, and one of
-    them goes on. In a band, each is compared with two of those that share it, others in each band: as many pairs as
-    rows, however large a group is, and what is not compared is linked through a third or in another band, or missed.
-    """
-    rows = table(docs.mapInArrow(_signatures, "uid long, digest long, n int, bands array<long>"))
-    one = table(rows.groupBy("digest", "n").agg(F.min("uid").alias("id")))
-    same = rows.select("uid", "digest", "n").join(one, ["digest", "n"]).filter("uid <> id").select(F.col("uid").alias("a"), F.col("id").alias("b"))
-    keys = table(rows.join(one.select(F.col("id").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("id"), "n", F.explode("bands").alias("key")))
-    place = F.struct(F.xxhash64("id", "key").alias("h"), "id", "n")
-    # Written before it is joined: then a band that very many texts share is split among tasks.
-    ends = table(keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo.id <> hi.id"))
-    pairs = keys.join(ends, "key").select("id", "n", F.explode(F.array("lo", "hi")).alias("end")).filter("id <> end.id")
-    pairs = pairs.filter(F.least("n", "end.n") >= similarity * F.greatest("n", "end.n"))
-    pairs = table(pairs.select(F.least("id", "end.id").alias("a"), F.greatest("id", "end.id").alias("b")).distinct())
+def _similar(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets have the similarity."""
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     sets = table(docs.join(ids, "uid", "left_semi").select("uid", "text").mapInArrow(_sets, "id long, set array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b").union(same)
+    return table(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
+def _dealt(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """rows(key, rows, ...) with part and home for _compare: those of a key with very many are dealt to n parts, and each of n * n tasks compares one with another."""
+    n = F.ceil(F.col("rows") / hot_rows).cast("long")
+    own = F.pmod(F.xxhash64("id"), n)
+    every = F.sequence(F.lit(0).cast("long"), n - 1)
+    # Part i at home meets part j in task i * n + j, for i up to j.
+    cell = lambda i: F.struct((F.least(own, i) * n + F.greatest(own, i)).alias("part"), (own <= i).alias("home"))
+    return rows.select("*", F.explode(F.transform(every, cell)).alias("_cell")).select("key", "_cell.part", "_cell.home", "id", "root", "n", "marks")
+
+
+def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int = FEW) -> DataFrame:
+    """(a, b): links between rows of docs(uid, text), of different uid, that connect all whose sets of shingles have that similarity or more.
+
+    No link is wrong, each is decided on the two sets, and none that connects is missed. Equal sets are linked to the smallest uid that has
+    them, and one of them goes on. Those that share one of their first shingles are compared with two of them at first, which joins
+    most of a group of near copies. Then all of them that are not yet connected are compared: by sizes and marks, which rule out nearly
+    all that are not similar, and what is left by the sets. Where a text has more than a few left, the nearest come first and what they
+    join is no longer apart, so a large group isn't compared pair by pair; once they join nothing, all that are left are compared.
+    """
+    rows = table(docs.mapInArrow(_signatures(similarity, *_frequent(docs)), "uid long, digest long, n int, marks binary, keys array<long>"))
+    one = table(rows.groupBy("digest", "n").agg(F.min("uid").alias("id")))
+    same = table(rows.select("uid", "digest", "n").join(one, ["digest", "n"]).filter("uid <> id").select(F.col("uid").alias("a"), F.col("id").alias("b")))
+    keys = rows.join(same.select(F.col("a").alias("uid")), "uid", "left_anti").select(F.explode("keys").alias("key"), F.col("uid").alias("id"))
+    keys = table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"))
+    known = rows.select(F.col("uid").alias("id"), "n", "marks")
+
+    place = F.struct(F.xxhash64("id").alias("h"), "id")
+    # Written before it is joined: then a shingle that very many texts share is split among tasks.
+    ends = table(keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")))
+    pairs = keys.join(ends, "key").select("id", F.explode(F.array("lo.id", "hi.id")).alias("end")).filter("id <> end")
+    pairs = table(pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
+    pairs = pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    links = _similar(table(pairs.mapInArrow(_near(similarity), "a long, b long")), docs, similarity)
+
+    while True:
+        rooted = table(keys.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+        apart = table(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("key", "rows"))
+        cells = _dealt(rooted.join(apart, "key").join(known, "id"), hot_rows).repartition("key", "part").sortWithinPartitions("key", "part")
+        found = table(cells.mapInArrow(_compare(similarity, few), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+        joined = _similar(found.select("a", "b"), docs, similarity)
+        links = links.union(joined)
+        if found.filter("more").isEmpty():
+            return links.union(same)
+        if joined.isEmpty():
+            few = None
