@@ -182,11 +182,12 @@ def test_no_alike_sets_are_ruled_out():
 
 @pytest.mark.parametrize("step", [1, 2, 3, 100])
 def test_shared_keys_over_batches(step):
-    keys = [1, 2, 2, 3, 4, 4, 4, 4, 5, 6, 7, 7]
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(range(i, min(i + step, len(keys))))], ["key", "id"]) for i in range(0, len(keys), step)]
+    rows = [(1, 5), (2, 8), (2, 10), (3, 9), (4, 7), (4, 7), (4, 8), (4, 20), (4, 30), (4, 31), (5, 1), (6, 10), (6, 13), (7, 2), (7, 2)]
+    batches = [pa.RecordBatch.from_pylist([{"key": k, "id": i + j, "n": n} for j, (k, n) in enumerate(rows[i : i + step])]) for i in range(0, len(rows), step)]
     batches.insert(1, batches[0].slice(0, 0))
-    got = [x for b in alike._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    assert got == [(k, i) for i, k in enumerate(keys) if keys.count(k) > 1]
+    got = [x for b in alike._shared(0.8)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    near = lambda n, m: min(n, m) >= 0.8 * max(n, m)
+    assert sorted(got) == [(k, i) for i, (k, n) in enumerate(rows) if any(k == l and i != j and near(n, m) for j, (l, m) in enumerate(rows))]
 
 
 @pytest.mark.parametrize("hot", [1, 5, 4096])

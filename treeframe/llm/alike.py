@@ -53,9 +53,9 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def marks(h: np.ndarray) -> bytes:
-    """MARKS bits, each the parity of the number of shingles that fall on it: two sets differ in as many shingles, or more, as their marks in bits."""
-    return np.packbits(np.bincount((h % np.uint64(MARKS)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).tobytes()
+def marks(h: np.ndarray, bits: int = MARKS) -> bytes:
+    """So many bits, each the parity of the number of shingles that fall on it: two sets differ in as many shingles, or more, as their marks in bits."""
+    return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def possible(n: np.ndarray, m: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
@@ -93,33 +93,39 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(similarity: float, frequent: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, digests, sizes, bits, keys = [], [], [], [], []
+            uids, digests, sizes, bits, wide, keys = [], [], [], [], [], []
             for uid, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if len(h := shingles(x.as_py())):
                     uids.append(uid)
                     digests.append(np.bitwise_xor.reduce(_mix(h + _STEP)))
                     sizes.append(len(h))
                     bits.append(marks(h))
+                    wide.append(marks(h, 1 << (len(h) - 1).bit_length()) if len(h) > MARKS else None)
                     keys.append(first(h, similarity, frequent, counts).view(np.int64))
-            columns = [pa.array(uids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "digest", "n", "marks", "keys"])
+            columns = [pa.array(uids, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "digest", "n", "marks", "wide", "keys"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) sorted by key, those whose key stands twice or more."""
-    held = np.empty((2, 0), np.int64)  # the last row, unless it has gone out
-    last = None  # the key of the last row, where that has gone out
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, ids = (np.concatenate([held[k], b.column(k).to_numpy(zero_copy_only=False)]) for k in (0, 1))
-        equal = key[1:] == key[:-1]
-        keep = np.concatenate(([last is not None and key[0] == last], equal)) | np.concatenate((equal, [False]))
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], ["key", "id"])
-        held = np.empty((2, 0), np.int64) if keep[-1] else np.array([key[-1:], ids[-1:]])
-        last = key[-1] if keep[-1] else None
+def _shared(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (key, id, n) sorted by key and n, those whose key another row has whose n lets the two be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = np.empty((3, 0), np.int64), False  # the last row, and whether it has gone out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])], axis=1)
+            near = (rows[0, 1:] == rows[0, :-1]) & (rows[2, :-1] >= similarity * rows[2, 1:] * (1 - 1e-9))
+            keep = np.concatenate(([False], near)) | np.concatenate((near, [False]))
+            last = bool(keep[-1]) or (out and rows.shape[1] == 1)
+            if held.shape[1] and out:
+                keep[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[1, keep])], ["key", "id"])
+            held, out = rows[:, -1:], last
+
+    return run
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -141,9 +147,9 @@ def _near(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, part, home, id, root, n, marks) come sorted by (key, part). Of each such group, the pairs of one at home with any of another root
-    that can have the similarity; of one with more than a few (None: any number), those of nearest marks, which say that there are more."""
+    that can have the similarity; of one with more than a few (None: any number), those of nearest marks, with the key of which there are more."""
 
-    def pairs(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    def pairs(key: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         home, ids, root, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         if home.all():  # of two roots one is not the largest
             names, sizes = np.unique(root, return_counts=True)
@@ -161,7 +167,7 @@ def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.Record
                 ok[np.flatnonzero(over)[:, None], nearest] = True
             x, y = np.nonzero(ok)
             a, b = ids[i[x]], ids[y]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(over[x])], ["a", "b", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(x), key, np.int64), mask=~over[x])], ["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -172,12 +178,12 @@ def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.Record
             cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))).tolist() if len(key) else []
             for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 if held and last != (key[i], part[i]):
-                    yield from pairs(held)
+                    yield from pairs(last[0], held)
                     held = []
                 last = (key[i], part[i])
                 held.append((home[i:j].astype(bool), ids[i:j], root[i:j], n[i:j].astype(np.int64), bits[i:j]))
         if held:
-            yield from pairs(held)
+            yield from pairs(last[0], held)
 
     return run
 
@@ -187,8 +193,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["id", "set"])
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b), a written table, whose sets have the similarity."""
+def _wide(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (a, b, n, m, wide marks of a, of b), the pairs that can have the similarity; those without wide marks on either side stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for k, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    x, y = (np.frombuffer(z, np.uint64) for z in (x, y))
+                    least = min(len(x), len(y))
+                    # The remainder by half as many bits is that of the remainder: marks fold.
+                    differ = np.bitwise_xor.reduce(x.reshape(-1, least)) ^ np.bitwise_xor.reduce(y.reshape(-1, least))
+                    ok[k] = possible(b.column(2)[k].as_py(), b.column(3)[k].as_py(), int(np.bitwise_count(differ).sum()), similarity)
+            ok = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets have the similarity; those of long texts are told apart by wide marks first."""
+    long = rows.filter("wide IS NOT NULL").select("uid", "n", "wide")
+    pairs = pairs.join(long.toDF("a", "n", "x"), "a", "left").join(long.toDF("b", "m", "y"), "b", "left").select("a", "b", "n", "m", "x", "y")
+    pairs = table(pairs.mapInArrow(_wide(similarity), "a long, b long"))
     ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     sets = table(docs.join(ids, "uid", "left_semi").select("uid", "text").mapInArrow(_sets, "id long, set array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -215,11 +243,11 @@ def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int
     all that are not similar, and what is left by the sets. Where a text has more than a few left, the nearest come first and what they
     join is no longer apart, so a large group isn't compared pair by pair; once they join nothing, all that are left are compared.
     """
-    rows = table(docs.mapInArrow(_signatures(similarity, *_frequent(docs)), "uid long, digest long, n int, marks binary, keys array<long>"))
+    rows = table(docs.mapInArrow(_signatures(similarity, *_frequent(docs)), "uid long, digest long, n int, marks binary, wide binary, keys array<long>"))
     one = table(rows.groupBy("digest", "n").agg(F.min("uid").alias("id")))
     same = table(rows.select("uid", "digest", "n").join(one, ["digest", "n"]).filter("uid <> id").select(F.col("uid").alias("a"), F.col("id").alias("b")))
-    keys = rows.join(same.select(F.col("a").alias("uid")), "uid", "left_anti").select(F.explode("keys").alias("key"), F.col("uid").alias("id"))
-    keys = table(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"))
+    keys = rows.join(same.select(F.col("a").alias("uid")), "uid", "left_anti").select(F.explode("keys").alias("key"), F.col("uid").alias("id"), "n")
+    keys = table(keys.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_shared(similarity), "key long, id long"))
     known = rows.select(F.col("uid").alias("id"), "n", "marks")
 
     place = F.struct(F.xxhash64("id").alias("h"), "id")
@@ -228,16 +256,20 @@ def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int
     pairs = keys.join(ends, "key").select("id", F.explode(F.array("lo.id", "hi.id")).alias("end")).filter("id <> end")
     pairs = table(pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
     pairs = pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    links = _similar(table(pairs.mapInArrow(_near(similarity), "a long, b long")), docs, similarity)
+    tried = table(pairs.mapInArrow(_near(similarity), "a long, b long"))
+    links = _similar(tried, rows, docs, similarity)
 
     while True:
         rooted = table(keys.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
         apart = table(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("key", "rows"))
         cells = _dealt(rooted.join(apart, "key").join(known, "id"), hot_rows).repartition("key", "part").sortWithinPartitions("key", "part")
-        found = table(cells.mapInArrow(_compare(similarity, few), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
-        joined = _similar(found.select("a", "b"), docs, similarity)
-        links = links.union(joined)
-        if found.filter("more").isEmpty():
+        found = table(cells.mapInArrow(_compare(similarity, few), "a long, b long, more long"))
+        pairs = table(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        joined = _similar(pairs, rows, docs, similarity)
+        links, tried = links.union(joined), tried.union(pairs)
+        left = table(found.filter("more IS NOT NULL").select(F.col("more").alias("key")).distinct())
+        if left.isEmpty():
             return links.union(same)
+        keys = table(keys.join(left, "key", "left_semi"))
         if joined.isEmpty():
             few = None
