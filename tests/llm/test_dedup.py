@@ -180,6 +180,24 @@ def test_no_alike_sets_are_ruled_out():
     assert near > 500
 
 
+def test_wide_marks_tell_long_texts_apart():
+    """Also where one side's marks are twice as wide; what is similar stays, and what has no wide marks."""
+    r = np.random.default_rng(4)
+    rows, similar = [], []
+    for k in range(200):
+        both = r.integers(0, 1 << 63, int(r.integers(1500, 9000)), np.uint64)
+        x, y = (np.unique(np.concatenate([both, r.integers(0, 1 << 63, len(both) // int(r.integers(2, 40)), np.uint64)])) for _ in range(2))
+        common = len(both) if k % 2 else 0
+        y = y if k % 2 else r.integers(0, 1 << 63, len(x), np.uint64)
+        rows.append((k, -k, len(x), len(y), *(alike.marks(z, 1 << (len(z) - 1).bit_length()) for z in (x, y))))
+        if common >= 0.8 * (len(x) + len(y) - common):
+            similar.append(k)
+    rows.append((200, -200, 9, None, None, rows[0][5]))
+    batch = pa.RecordBatch.from_pylist([dict(zip("abnmxy", x, strict=True)) for x in rows])
+    got = {x for b in alike._wide(0.8)(iter([batch, batch.slice(0, 0)])) for x in b.column(0).to_pylist()}
+    assert len(similar) > 30 and {*similar, 200} <= got and not {k for k in got if k % 2 == 0 and k < 200}
+
+
 @pytest.mark.parametrize("step", [1, 2, 3, 100])
 def test_shared_keys_over_batches(step):
     rows = [(1, 5), (2, 8), (2, 10), (3, 9), (4, 7), (4, 7), (4, 8), (4, 20), (4, 30), (4, 31), (5, 1), (6, 10), (6, 13), (7, 2), (7, 2)]
