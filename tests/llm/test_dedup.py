@@ -208,6 +208,19 @@ def test_shared_keys_over_batches(step):
     assert sorted(got) == [(k, i) for i, (k, n) in enumerate(rows) if any(k == l and i != j and near(n, m) for j, (l, m) in enumerate(rows))]
 
 
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_no_comparison_without_room(step):
+    """Rows whose key stands too late in their sets for any other go; none goes that has one to be compared with."""
+    r = random.Random(2)
+    rows = sorted((k, n := r.randint(20, 60), r.randint(n - n // 5 - 1, n)) for k in range(60) for _ in range(r.randint(1, 7)))
+    rows += [(99, 100, 81)] * 4
+    batches = [pa.RecordBatch.from_pylist([{"key": k, "id": i + j, "n": n, "room": room} for j, (k, n, room) in enumerate(rows[i : i + step])]) for i in range(0, len(rows), step)]
+    got = [x for b in alike._shared(0.8)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    meets = lambda x, y: x[0] == y[0] and 1.8 * min(x[2], y[2]) >= 0.8 * (x[1] + y[1]) and min(x[1], y[1]) >= 0.8 * max(x[1], y[1])
+    want = {(x[0], i, x[2]) for i, x in enumerate(rows) if any(i != j and meets(x, y) for j, y in enumerate(rows))}
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) < 0.8 * len(rows) and not any(k == 99 for k, *_ in got)
+
+
 @pytest.mark.parametrize("hot", [1, 5, 4096])
 def test_links_join_all_that_are_near(spark, hot):
     """Fingerprints around a few centres, with every number of differing bits; also where all anchors count as hot."""
@@ -241,6 +254,24 @@ def test_components_of_long_paths(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    """Two tables are written for few links, and the components are those of the rounds."""
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    written, store = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df: written.append(1) or store(df))
+    r = random.Random(4)
+    edges = [(r.randrange(-200, 200), r.randrange(-200, 200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(50)]
+    roots = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((roots[a], roots[b]))
+        roots = {x: low if c == high else c for x, c in roots.items()}
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: roots[x] for x in linked}
+    assert len(written) > 6 if few == 0 else len(written) == 2
+
+
 # --- lines -------------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 Of two sets of similarity t or more, put in one order, the first n - ceil(t n) + 1 shingles of either (n: its size) have one in
 common. Only texts that share such a shingle are compared, so none is missed whatever the order is; an order with the frequent
-shingles last keeps the groups that share one small.
+shingles last keeps the groups that share one small. At the first of the shingles that two sets share, all that they share is still
+to come: they are compared there only if what is left of either (its room) is enough. Most frequent shingles stand so late that
+their sets aren't compared there at all.
 """
 
 from __future__ import annotations
@@ -108,22 +110,33 @@ def _signatures(similarity: float, frequent: np.ndarray, counts: np.ndarray) ->
     return run
 
 
+def enough(n: np.ndarray, m: np.ndarray, room: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles of which both have so many in common, or fewer, can have the similarity."""
+    return room * (1 + similarity) >= similarity * (n + m) * (1 - 1e-9)
+
+
 def _shared(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (key, id, n) sorted by key and n, those whose key another row has whose n lets the two be similar."""
+    """Of rows (key, id, n, room) sorted by key and n, those whose key another row has whose n and room let the two be similar; of some
+    others too. room: how many of the n shingles are the key's or come after it; n where there is no such column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = np.empty((3, 0), np.int64), False  # the last row, and whether it has gone out
+        held, out = np.empty((4, 0), np.int64), np.empty(0, bool)  # the last row and the last before it that leads; whether each has been dealt with
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])], axis=1)
-            near = (rows[0, 1:] == rows[0, :-1]) & (rows[2, :-1] >= similarity * rows[2, 1:] * (1 - 1e-9))
-            keep = np.concatenate(([False], near)) | np.concatenate((near, [False]))
-            last = bool(keep[-1]) or (out and rows.shape[1] == 1)
-            if held.shape[1] and out:
-                keep[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0, keep]), pa.array(rows[1, keep])], ["key", "id"])
-            held, out = rows[:, -1:], last
+            columns = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2, min(3, b.num_columns - 1))]
+            rows = np.concatenate([held, np.stack(columns)], axis=1)
+            key, _, n, room = rows
+            # Of two rows the first leads: it has room for a set as large as its own, or larger.
+            lead = enough(n, n, room, similarity)
+            leader = np.concatenate(([-1], np.maximum.accumulate(np.where(lead, np.arange(len(n)), -1))[:-1]))
+            led = (leader >= 0) & (key[leader] == key) & (n[leader] >= similarity * n * (1 - 1e-9))
+            leads = lead[:-1] & (key[1:] == key[:-1]) & enough(n[:-1], n[1:], room[:-1], similarity)
+            keep = led | np.concatenate((leads, [False]))
+            keep[: len(out)] &= ~out
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k, keep]) for k in (0, 1, 3)[: b.num_columns - 1]], ["key", "id", "room"][: b.num_columns - 1])
+            before = leader[-1:][(leader[-1:] >= 0) & (key[leader[-1:]] == key[-1])]
+            held, out = rows[:, [*before, len(n) - 1]], np.array([*np.ones(len(before), bool), led[-1]])
 
     return run
 
@@ -146,11 +159,11 @@ def _near(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, part, home, id, root, n, marks) come sorted by (key, part). Of each such group, the pairs of one at home with any of another root
-    that can have the similarity; of one with more than a few (None: any number), those of nearest marks, with the key of which there are more."""
+    """Rows (key, part, home, id, root, n, room, marks) come sorted by (key, part). Of each such group, the pairs of one at home with any of another root
+    that can have the similarity if the key is their first; of one with more than a few (None: any number), those of nearest marks, with the key of which there are more."""
 
     def pairs(key: int, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        home, ids, root, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        home, ids, root, n, room, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         if home.all():  # of two roots one is not the largest
             names, sizes = np.unique(root, return_counts=True)
             home = root != names[sizes.argmax()]
@@ -160,6 +173,7 @@ def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.Record
             i = at_home[at : at + step]
             differ = sum(np.bitwise_count(bits[i, None, k] ^ bits[None, :, k]).astype(np.int64) for k in range(bits.shape[1]))
             ok = (root[i, None] != root[None, :]) & possible(n[i, None], n[None, :], differ, similarity)
+            ok &= enough(n[i, None], n[None, :], np.minimum(room[i, None], room[None, :]), similarity)
             over = ok.sum(axis=1) > (len(ids) if few is None else few)
             if over.any():
                 nearest = np.argpartition(np.where(ok[over], differ[over], MARKS + 1), few - 1, axis=1)[:, :few]
@@ -173,15 +187,15 @@ def _compare(similarity: float, few: int | None) -> Callable[[Iterator[pa.Record
         held: list[tuple[np.ndarray, ...]] = []
         last = None
         for b in batches:
-            key, part, home, ids, root, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            bits = _bits(b.column(6))
+            key, part, home, ids, root, n, room = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            bits = _bits(b.column(7))
             cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))).tolist() if len(key) else []
             for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True):
                 if held and last != (key[i], part[i]):
                     yield from pairs(last[0], held)
                     held = []
                 last = (key[i], part[i])
-                held.append((home[i:j].astype(bool), ids[i:j], root[i:j], n[i:j].astype(np.int64), bits[i:j]))
+                held.append((home[i:j].astype(bool), ids[i:j], root[i:j], n[i:j].astype(np.int64), room[i:j], bits[i:j]))
         if held:
             yield from pairs(last[0], held)
 
@@ -231,7 +245,7 @@ def _dealt(rows: DataFrame, hot_rows: int) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), n - 1)
     # Part i at home meets part j in task i * n + j, for i up to j.
     cell = lambda i: F.struct((F.least(own, i) * n + F.greatest(own, i)).alias("part"), (own <= i).alias("home"))
-    return rows.select("*", F.explode(F.transform(every, cell)).alias("_cell")).select("key", "_cell.part", "_cell.home", "id", "root", "n", "marks")
+    return rows.select("*", F.explode(F.transform(every, cell)).alias("_cell")).select("key", "_cell.part", "_cell.home", "id", "root", "n", "room", "marks")
 
 
 def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int = FEW) -> DataFrame:
@@ -246,14 +260,16 @@ def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int
     rows = table(docs.mapInArrow(_signatures(similarity, *_frequent(docs)), "uid long, digest long, n int, marks binary, wide binary, keys array<long>"))
     one = table(rows.groupBy("digest", "n").agg(F.min("uid").alias("id")))
     same = table(rows.select("uid", "digest", "n").join(one, ["digest", "n"]).filter("uid <> id").select(F.col("uid").alias("a"), F.col("id").alias("b")))
-    keys = rows.join(same.select(F.col("a").alias("uid")), "uid", "left_anti").select(F.explode("keys").alias("key"), F.col("uid").alias("id"), "n")
-    keys = table(keys.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_shared(similarity), "key long, id long"))
+    keys = rows.join(same.select(F.col("a").alias("uid")), "uid", "left_anti").select(F.posexplode("keys").alias("at", "key"), F.col("uid").alias("id"), "n")
+    keys = keys.select("key", "id", "n", (F.col("n") - F.col("at")).alias("room"))
+    keys = table(keys.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_shared(similarity), "key long, id long, room long"))
     known = rows.select(F.col("uid").alias("id"), "n", "marks")
 
     place = F.struct(F.xxhash64("id").alias("h"), "id")
     # Written before it is joined: then a shingle that very many texts share is split among tasks.
     ends = table(keys.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")))
-    pairs = keys.join(ends, "key").select("id", F.explode(F.array("lo.id", "hi.id")).alias("end")).filter("id <> end")
+    meets = F.expr("filter(array(lo.id, hi.id), x -> x <> id AND lo.id <> id)")  # each pair once: the first is met by all, the last by those between
+    pairs = keys.join(ends, "key").select("id", F.explode(meets).alias("end"))
     pairs = table(pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct())
     pairs = pairs.join(known.toDF("a", "n", "x"), "a").join(known.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     tried = table(pairs.mapInArrow(_near(similarity), "a long, b long"))
@@ -261,7 +277,7 @@ def alike(docs: DataFrame, similarity: float, hot_rows: int = HOT_ROWS, few: int
 
     while True:
         rooted = table(keys.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-        apart = table(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select("key", "rows"))
+        apart = table(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi AND rows > 3").select("key", "rows"))
         cells = _dealt(rooted.join(apart, "key").join(known, "id"), hot_rows).repartition("key", "part").sortWithinPartitions("key", "part")
         found = table(cells.mapInArrow(_compare(similarity, few), "a long, b long, more long"))
         pairs = table(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
