@@ -110,6 +110,33 @@ def test_words_dropped_from_the_cache(spark, model, monkeypatch):
             assert len(coder.spaced) <= 1 + 3 and len(coder.plain) <= 1 + 3
 
 
+def test_counting_forgets_the_words_of_a_call_before(spark, model, monkeypatch):
+    """A worker that counts words holds no coder of a call before, and counts them all."""
+    seen = []
+
+    class Docs:
+        select = lambda self, *_: self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            seen.append(run)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        pieces.hot_words(Docs(), "text", model, 10)
+    monkeypatch.setitem(pieces._known, "before", "a coder")
+    out = list(seen[0](iter([pa.RecordBatch.from_pylist([{"text": "a b b\nb"}, {"text": None}, {"text": "x" * 32}])])))
+    assert not pieces._known
+    assert {(r["word"], r["n"]) for b in out for r in b.to_pylist()} == {("▁a", 1), ("▁b", 2), ("\n", 1), ("b", 1)}
+
+
+def test_forgotten_words_that_decode_to_others(monkeypatch):
+    """Whether a text comes back is known also where its odd word is dropped from the cache before the text ends."""
+    monkeypatch.setattr(pieces._Known, "CACHED", 3)
+    unigram = pieces.Pieces.of([(c, -1.0) for c in "▁abcdefg"], pieces.UNIGRAM, byte_fallback=False)
+    coder = pieces.Coder(unigram, pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))}))
+    assert [coder.encode(t)[1] for t in ("a b c", "Ω a b c d e f g", "a b", "g f e d c b a")] == [True, False, True, True]
+
+
 def test_runs_are_the_chunks(model):
     """Cutting lines at single spaces gives the chunks of the whole text."""
     r = random.Random(12)

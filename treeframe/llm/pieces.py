@@ -318,14 +318,18 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from treeframe.llm import pieces as own
+
+        own._known.clear()  # some 150 MB, of a call before: else a worker would hold them beside what it counts
         plain: Counter[str] = Counter()
         spaced: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            short = [(w, n) for prefix, counts in (("", plain), (SPACE, spaced)) for x, n in counts.items() if len(w := prefix + x) <= HOT_CHARS]
-            plain.clear()
-            spaced.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for prefix, counts in (("", plain), (SPACE, spaced)):
+                most = HOT_CHARS - len(prefix)
+                words, n = pa.array([prefix + x for x in counts if len(x) <= most], pa.string()), pa.array([n for x, n in counts.items() if len(x) <= most], pa.int64())
+                counts.clear()
+                yield pa.RecordBatch.from_arrays([words, n], ["word", "n"])
 
         for b in batches:
             for x in b.column(0):
@@ -333,8 +337,8 @@ def hot_words(docs: DataFrame, text: str, model: Pieces, limit: int) -> DataFram
                 for words, after_space in model.runs(x) if x else ():
                     (spaced if after_space else plain).update(words)
                 if len(plain) + len(spaced) > 1 << 18:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     counted = stored(counted.select("word", F.floor(16 * F.log2("n")).cast("int").alias("class"))).df
@@ -354,11 +358,12 @@ class _Known(dict):
     garbage collector would look through again and again, as it would through lists. odd: the words whose ids decode to another text.
     """
 
-    CACHED = 1 << 18
+    CACHED = 1 << 17
 
     def __init__(self, model: Pieces, prefix: str = "") -> None:
         self.model, self.prefix = model, prefix
         self.later: list[str] = []
+        self.forgot = 0  # times
         self.odd: set[str] = set()
 
     def __missing__(self, word: str) -> bytes:
@@ -367,6 +372,7 @@ class _Known(dict):
                 del self[w]
             self.odd.difference_update(self.later)
             self.later.clear()
+            self.forgot += 1
         whole = self.prefix + word
         ids = self.model.fold(whole) if len(whole) <= 256 else fold_long(self.model, whole)
         self.later.append(word)
@@ -394,13 +400,15 @@ class Coder:
     def encode(self, text: str) -> tuple[bytes, bool]:
         """The ids as bytes of int32, and whether they decode to the text."""
         plain, spaced, parts, odd = self.plain, self.spaced, [], False
+        forgot = plain.forgot + spaced.forgot
         for words, after_space in self.model.runs(text) if text else ():
             known = spaced if after_space else plain
             parts += map(known.__getitem__, words)
             odd = odd or bool(known.odd) and not known.odd.isdisjoint(words)
         ids = b"".join(parts)
-        # Where every word decodes to itself, the words one after another are the text, unless it has escaped spaces of its own.
-        if odd or SPACE in text:
+        # Where every word decodes to itself, the words one after another are the text, unless it has escaped spaces of its own. What was odd
+        # may be forgotten by the end of the text.
+        if odd or SPACE in text or forgot != plain.forgot + spaced.forgot:
             return ids, self.model.decode(np.frombuffer(ids, np.int32).tolist()) == text
         return ids, True
 
