@@ -445,6 +445,55 @@ def test_windows_are_told_apart_by_both_hashes():
     assert not substrings.removed(words, 9, [h], h2[:0]).any() and substrings.removed(words, 9, [h], h2[:1]).sum() == 9
 
 
+@pytest.fixture
+def unbroadcast(spark):
+    """As on large tables, no side of a join is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_op9_moves_texts_once(spark, tmp_path, unbroadcast):
+    """Texts are shuffled to meet their copies, and by no level after that."""
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    r = random.Random(7)
+    say = lambda n: " ".join(f"{r.getrandbits(64):x}" for _ in range(n))
+    passages = [say(50) for _ in range(100)]
+    rows = [(i, f"{say(300)} {passages[i % 100]} {say(300)}", None) for i in range(200)]
+    packed = sum(len(pa.compress(t.encode(), "zstd", asbytes=True)) for _, t, _ in rows)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    before = moved()
+    got = [(x.doc_id, x.n_words, x.n_removed) for x in substrings.op9_substring_dedup(spark, str(tmp_path)).collect()]
+    assert (moved() - before) / packed < 2
+    assert sorted(got) == [(i, 650, 50) for i in range(200)]
+
+
+@pytest.mark.parametrize("limit", [1, 3000])
+def test_substring_dedup_over_blocks(spark, unbroadcast, monkeypatch, limit):
+    """Windows meet across blocks and inside one; none reaches from a text into the next of its block."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", limit)
+    say = " ".join
+    rows = corpus(8) + [(200, say(WORDS[:20]), None), (201, say(WORDS[20:40]), None), (202, say(WORDS[:40]), None), (203, say(WORDS[:40] + ["x"]), None)]
+    got = [tuple(x) for x in substrings.remove_repeats(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_substrings(rows, 35), key=repr)
+
+
+def test_windows_of_several_texts():
+    """Runs of several texts are counted together, those of copies twice, and none reaches over the end of a text."""
+    a, b = [b"a%d" % i for i in range(9)], [b"b%d" % i for i in range(9)]
+    text, once = np.repeat(np.arange(3), 9), np.ones(3, np.int64)
+    h, _, n = substrings.chosen([*a, *b, *a], 9, [], text, once)
+    assert len(h) == 2 and sorted(n.tolist()) == [1, 2]
+    assert substrings.chosen([*a, *b, *a], 9, [], text, np.array([1, 2, 1]))[2].tolist() == [2, 2]
+    both, h2, _ = substrings.chosen(a, 9, [])
+    assert substrings.removed([*a, *b, *a], 9, [both], h2, text).tolist() == [True] * 9 + [False] * 9 + [True] * 9
+
+
 def test_tables_are_dropped_by_their_owners(spark, tmp_path):
     """Results that were built before another piece of work ended can still be read, and nothing stays once all have ended."""
     root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
