@@ -20,7 +20,11 @@ def by_key(entries: Column, append: bool) -> Column:
     or structs. Entries are sorted by key once, so the cost is n log n for n entries.
     """
 
-    def groups(s: Column) -> Column:
+    def grouped(entries: Column) -> Column:
+        ordered = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
+        return F.when(F.size(entries) > 0, let(ordered, lambda s: groups(entries, s))).otherwise(F.filter(entries, lambda e: F.lit(False)))
+
+    def groups(entries: Column, s: Column) -> Column:
         begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | ~F.get(s, j)["k"].eqNullSafe(F.get(s, j - 1)["k"]))
 
         def bounds(b: Column) -> Column:
@@ -34,5 +38,5 @@ def by_key(entries: Column, append: bool) -> Column:
 
         return let(begins, bounds)
 
-    ordered = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))))
-    return F.when(F.size(entries) > 0, let(ordered, groups)).otherwise(F.filter(entries, lambda e: F.lit(False)))
+    # Entries may be an expression themselves: read by name in each group, they would be made anew for each.
+    return let(entries, grouped)

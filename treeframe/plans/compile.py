@@ -67,6 +67,17 @@ def schema_of(record: Record) -> T.StructType:
     return T.StructType(fields)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 # --- values and errors -------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,8 @@ from .spec import Attr, Beyond, Child, MapOf, Part, Poly, Record, Self, Text, sc
 
 @dataclass
 class Slot:
-    """One raw value. located: it travels with its line and column, and with its path if suffix is None."""
+    """One raw value. located: it travels with its line and column, and with its path if suffix is None. kind is the name of a
+    scalar type that sources.quick reads; required: a null is an error; map: its entries meet by key."""
 
     name: str
     many: bool = False
@@ -24,6 +25,24 @@ class Slot:
     preserve: bool = False
     located: bool = False
     suffix: str | None = ""
+    kind: str | None = None
+    required: bool = False
+    map: MapRules | None = None
+
+    @property
+    def plain(self) -> bool:
+        """Whether sources.quick can read it."""
+        if self.map:
+            key = self.nested.slots[0]
+            keys = key.nested.slots if key.nested else [key]
+            return self.nested.plain and all(s.kind in ("string", "int", "bigint") and (s is key or not s.many) for s in keys)
+        return all(b.plain for _, b in self.poly.kinds.values()) if self.poly else self.nested.plain if self.nested else self.kind is not None
+
+
+@dataclass
+class MapRules:
+    required: bool
+    as_map: bool
 
 
 @dataclass
@@ -72,6 +91,10 @@ class Body:
     def reads_children(self) -> bool:
         return bool(self.texts or self.selfs or self.direct or self.maps or self.polys or self.heads)
 
+    @property
+    def plain(self) -> bool:
+        return all(s.plain for s in self.slots)
+
 
 @dataclass
 class Program:
@@ -80,6 +103,17 @@ class Program:
     ignore_ns: bool
 
 
+#: Types whose plain texts Python reads as Spark does.
+PLAIN = ("string", "int", "bigint", "double")
+
+
+def plain(how: Attr | Child | Text | Part) -> str | None:
+    """The name of the field's type if it is one of PLAIN, read by no pattern and no converter."""
+    kind = scalar(how.type)
+    known = kind is not None and kind.simpleString() in PLAIN and getattr(how, "fmt", None) is None and getattr(how, "converter", None) is None
+    return kind.simpleString() if known else None
+
+
 def needs_location(how: Attr | Child | Text) -> bool:
     return how.converter is not None or scalar(how.type) is None or scalar(how.type).simpleString() != "string"
 
@@ -114,24 +148,24 @@ def body_of(record: Record, ns: Mapping[str, str], ignore_ns: bool) -> Body:
     for name, how in record.fields.items():
         k = len(out.slots)
         if isinstance(how, Attr):
-            out.slots.append(Slot(name))
+            out.slots.append(Slot(name, kind=plain(how), required=how.required))
             out.attrs.append((attribute(how.name or name, ns).key(ignore_ns), k))
         elif isinstance(how, Text):
-            out.slots.append(Slot(name, preserve=how.preserve_whitespace))
+            out.slots.append(Slot(name, preserve=how.preserve_whitespace, kind=plain(how)))
             out.texts.append(k)
         elif isinstance(how, MapOf):
             key, value = part(how.key), part(how.value)
             entry = Body()
             for label, p in (("key", key), ("value", value)):
-                _place(entry, Slot(label, p.many, _nested(record, p, ns, ignore_ns)), p.path, ns, ignore_ns)
-            out.slots.append(Slot(name, True, entry))
+                _place(entry, Slot(label, p.many, _nested(record, p, ns, ignore_ns), kind=plain(p), required=p.required), p.path, ns, ignore_ns)
+            out.slots.append(Slot(name, True, entry, map=MapRules(how.required, how.as_map)))
             out.maps.append(MapPlan(parse_child(how.entry, ns).steps[0], k))
         elif isinstance(how.type, Poly):
-            out.slots.append(Slot(name, how.many, poly=poly_of(how, ns, ignore_ns)))
+            out.slots.append(Slot(name, how.many, poly=poly_of(how, ns, ignore_ns), required=how.required))
             out.polys.append(k)
         else:
             nested = _nested(record, how, ns, ignore_ns)
-            _place(out, Slot(name, how.many, nested, preserve=how.preserve_whitespace, located=not how.many and nested is None and needs_location(how)), how.path or name, ns, ignore_ns)
+            _place(out, Slot(name, how.many, nested, preserve=how.preserve_whitespace, located=not how.many and nested is None and needs_location(how), kind=plain(how), required=how.required), how.path or name, ns, ignore_ns)
     return out
 
 
