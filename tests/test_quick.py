@@ -1,12 +1,13 @@
 """The quick reader of typed records against the splitter, whose raw records are read by the types of table functions; and what it saves."""
 
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from treeframe import Attr, Child, MapOf, Part, Poly, Record, Text, extract
+from treeframe import Attr, Child, MapOf, Part, Poly, Record, Text, extract, find, nodes
 from treeframe.functions.arrays import by_key
 from treeframe.operators.udtf import row_reader
 from treeframe.plans.program import program
@@ -105,3 +106,15 @@ def test_entries_are_made_once(spark):
     began = time.time()
     assert df.select(F.size(by_key(entries, True)).alias("n"), F.size(by_key(entries, False)).alias("m")).first() == (2001, 2001)
     assert time.time() - began < 20
+
+
+def test_no_map_goes_through_a_join(spark):
+    """nodes_sql: attributes that a path tests or reads were dealt and sorted as maps, most of a task's memory."""
+    table = nodes(spark.createDataFrame([(1, "<o><l k='R' n='1'/><l k='R' n='2'/><l k='A' n='3'/></o>"), (2, "<o><l k='R' n='4'/><l n='5'/></o>")], "doc int, content string"), keep=["doc"])
+    found = find(table, "//o/l[2][@k='R']/@n", "doc").select("doc", "value")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    dealt = re.findall(r"^\(\d+\) (?:Exchange|Sort|Window|\w+Join|BroadcastExchange)\b.*\n(?:Input.*|Left keys.*)", plan, re.M)
+    assert dealt and not [x for x in dealt if "attrs#" in x]
+    assert [tuple(r) for r in found.collect()] == [(1, "2")]
+    whole = find(table, "//o/l[@k!='R' or 2]/@n", "doc")
+    assert whole.columns == [*table.columns, "value"] and sorted((r.doc, r.value, r.attrs.get("k")) for r in whole.collect()) == [(1, "2", "R"), (1, "3", "A"), (2, "5", None)]

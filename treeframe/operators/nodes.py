@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..plans.paths import ANY, Bracket, Name, parse
+from ..plans.paths import ANY, Bracket, Name, Term, parse
 from ..sources.split import pieces
 
 _FIELDS = "pre long, last long, parent long, level int, ns string, local string, attrs map<string,string>, own_text string, text string, line int"
@@ -94,16 +94,18 @@ def _named(name: Name) -> Column:
     return reduce(Column.__and__, tests)
 
 
-def _holds(bracket: Bracket) -> Column:
-    """The bracket as a condition; _n is the place among the siblings that reach it."""
+def _attribute(name: Name) -> Column:
+    return F.try_element_at("attrs", F.lit(f"{{{name.ns}}}{name.local}" if name.ns else name.local))
+
 
-    def term(t) -> Column:
-        if t.name is None:
-            return F.col("_n") == t.position
-        value = F.try_element_at("attrs", F.lit(f"{{{t.name.ns}}}{t.name.local}" if t.name.ns else t.name.local))
-        same = value.eqNullSafe(F.lit(t.value))
-        return same if t.equal else ~same
+def _test(t: Term) -> Column:
+    same = _attribute(t.name).eqNullSafe(F.lit(t.value))
+    return same if t.equal else ~same
 
+
+def _holds(bracket: Bracket, tests: Mapping[Term, Column]) -> Column:
+    """The bracket as a condition; _n is the place among the siblings that reach it."""
+    term = lambda t: F.col("_n") == t.position if t.name is None else tests[t]
     return reduce(Column.__or__, [reduce(Column.__and__, map(term, a)) for a in bracket.alternatives])
 
 
@@ -111,27 +113,29 @@ def find(table: DataFrame, path: str, doc: str, ns: Mapping[str, str] | None = N
     """The rows of a table of nodes() that a record path matches, at any depth; doc is the column that tells documents apart.
 
     A child step is a join on the parent, a descendant step one on the interval of numbers, a position a row number
-    among siblings. Deal the table by doc once and the joins of one path share that.
+    among siblings. Deal the table by doc once and the joins of one path share that. What a step wants of the attributes is read
+    before its rows are dealt and sorted: unless the result's attrs are asked for, no map goes through a join.
     """
     p, out = parse(path, ns), None
     columns = table.columns
-    for step in p.steps:
+    for k, step in enumerate(p.steps):
+        terms = dict.fromkeys(t for b in step.brackets for a in b.alternatives for t in a if t.name is not None)
+        leaf = [_attribute(p.leaf).alias("_leaf")] if p.leaf is not None and k == len(p.steps) - 1 else []
         here = table.filter(_named(step.name))
-        if out is None:
-            here = here if step.descendant else here.filter("parent = 0")
-        else:
+        if out is None and not step.descendant:
+            here = here.filter("parent = 0")
+        here = here.select(*columns, *[_test(t).alias(f"_t{i}") for i, t in enumerate(terms)], *leaf)
+        if out is not None:
             above = out.select(F.col(doc).alias("_doc"), F.col("pre").alias("_pre"), F.col("last").alias("_last"))
             if step.descendant:
                 on = (F.col(doc) == F.col("_doc")) & (F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_last"))
             else:
                 on = (F.col(doc) == F.col("_doc")) & (F.col("parent") == F.col("_pre"))
             here = here.join(above, on, "left_semi")
+        tests = {t: F.col(f"_t{i}") for i, t in enumerate(terms)}
         for b in step.brackets:
             if b.positional:
                 here = here.withColumn("_n", F.row_number().over(Window.partitionBy(doc, "parent").orderBy("pre")))
-            here = here.filter(_holds(b)).select(*columns)
-        out = here
-    if p.leaf is not None:
-        key = f"{{{p.leaf.ns}}}{p.leaf.local}" if p.leaf.ns else p.leaf.local
-        out = out.withColumn("value", F.try_element_at("attrs", F.lit(key)))
-    return out
+            here = here.filter(_holds(b, tests))
+        out = here.select(*columns, *(["_leaf"] if leaf else []))
+    return out.withColumn("value", F.col("_leaf")).drop("_leaf") if p.leaf is not None else out
