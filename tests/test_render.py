@@ -13,7 +13,8 @@ def test_keys_over_batches():
     want = [(None, "n[]"), (None, "m[]"), (0, "a[]"), (1, "b[12]"), (3, "c[34]"), (3, "d[34]"), (4, "e[]")]
     for size in range(1, len(rows) + 1):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in p], pa.int64()), pa.array([bool(x) for _, x, _ in p]), pa.array([None if x else t + "[" for _, x, t in p], pa.string()), pa.array([None if x else "]" for _, x, _ in p], pa.string()), pa.array([t if x else None for _, x, t in p], pa.string())], names=["l_orderkey", "_line", "_p0", "_p1", "_b_body"]) for p in parts]
+        numbers = [1, 2, 1, 1, 1, 2, 1, 1, 2, 1, 2, 3, 1]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in p], pa.int64()), pa.array([bool(x) for _, x, _ in p]), pa.array(numbers[i * size : i * size + len(p)], pa.int32()), pa.array([None if x else t + "[" for _, x, t in p], pa.string()), pa.array([None if x else "]" for _, x, _ in p], pa.string()), pa.array([t if x else None for _, x, t in p], pa.string())], names=["l_orderkey", "_line", "ord", "_p0", "_p1", "_b_body"]) for i, p in enumerate(parts)]
         assert [(r["doc_id"], r["content"]) for b in _assembled(iter(batches), ["body"]) for r in b.to_pylist()] == want
 
 
@@ -37,6 +38,13 @@ def test_documents(spark, tables):
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
 
 
+def test_lines_without_numbers(spark, tables):
+    """Rows are sorted also where no template has {ord}."""
+    rows = sorted((i % 7, i, i % 45) for i in range(300))
+    want = {k: "".join(f"{i}," for _, i, o in rows if o == k) for k in range(1, 40)}
+    assert {r.doc_id: r.content for r in order_docs(spark, tables, "{body}", body="{l_partkey},").filter("doc_id IS NOT NULL").collect()} == want
+
+
 def test_bodies_are_not_broadcast(spark, tables):
     """Their size was judged by the file's, and up to 10 MB of that all orders' texts went through the driver, and orders were one task a file."""
     plan = order_docs(spark, tables, "<o>{body}</o>", body="{ord}")._jdf.queryExecution().executedPlan().toString()

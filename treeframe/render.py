@@ -61,9 +61,10 @@ def order_docs(spark: SparkSession, sf_dir: str, doc: str, values: Mapping[str,
     key = orders.schema["o_orderkey"]
     lines = read(spark, sf_dir, "lineitem").filter("l_orderkey IS NOT NULL").withColumn("l_orderkey", F.col("l_orderkey").cast(key.dataType)).withColumn("_line", F.lit(True))
     heads = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(False).alias("_line"), *[(xml(x, values) if x else F.lit("")).alias(f"_p{k}") for k, x in enumerate(around[::2])])
+    # The window sorts; ord goes with the rows, as a window that nothing reads would be left out, and the sort with it.
     order = Window.partitionBy("l_orderkey", "_line").orderBy(*LINE_ORDER)
     both = heads.unionByName(lines, allowMissingColumns=True).repartition("l_orderkey").withColumn("ord", F.row_number().over(order))
-    parts = both.select("l_orderkey", "_line", *[c for c in heads.columns if c.startswith("_p")], *[F.when(F.col("_line") & when, xml(x, values)).alias(f"_b_{n}") for n, (x, when) in texts.items()])
+    parts = both.select("l_orderkey", "_line", "ord", *[c for c in heads.columns if c.startswith("_p")], *[F.when(F.col("_line") & when, xml(x, values)).alias(f"_b_{n}") for n, (x, when) in texts.items()])
     return parts.mapInArrow(lambda batches: _assembled(batches, around[1::2]), T.StructType([T.StructField("doc_id", key.dataType), T.StructField("content", T.StringType())]))
 
 
@@ -97,7 +98,10 @@ def _documents(rows: list[pa.RecordBatch], bodies: list[str]) -> pa.RecordBatch:
     run = np.zeros(b.num_rows, np.int64)
     run[begins] = 1
     run = run.cumsum()
-    line = b.column("_line").to_numpy(zero_copy_only=False)
+    line, ord_ = b.column("_line").to_numpy(zero_copy_only=False), b.column("ord").to_numpy()
+    first = np.append(True, (run[1:] != run[:-1]) | (line[1:] != line[:-1]))
+    if (np.where(first, 0, np.append(0, ord_[:-1])) + 1 != ord_).any():
+        raise ValueError("rows are not in the order of their numbers")
     lines, heads = b.filter(pa.array(line)), b.filter(pa.array(~line))
     ends = pa.array(np.searchsorted(run[line], np.arange(len(begins) + 2)), pa.int32())
     of = pa.array(run[~line])
